@@ -48,6 +48,18 @@ def sigmoid(logit: Column) -> Column:
     return dbl(1.0) / (dbl(1.0) + F.exp(-logit))
 
 
+def stable_round(c: Column, digits: int = 6) -> Column:
+    """Round the value's 9-place decimal rendering, half away from zero.
+
+    Summation order moves the last bits of a double; when the exact value is
+    a tie at ``digits`` places (common for means of 2-decimal data) rounding
+    the binary double would go either way.  The decimal rendering absorbs
+    that noise, so every engine lands on the same side.  Infinities and NaN
+    become NULL.
+    """
+    return F.round(c.cast("double").try_cast("decimal(38,9)"), digits).cast("double")
+
+
 def fixed_score(model: str, digits: int | None = C.SCORE_DIGITS) -> Column:
     """Probability of one fixed-coefficient model, rounded to ``digits``.
 
@@ -57,7 +69,7 @@ def fixed_score(model: str, digits: int | None = C.SCORE_DIGITS) -> Column:
     for name, intercept, weights in C.SCORE_MODELS:
         if name == model:
             p = sigmoid(logit_of(intercept, weights))
-            return F.round(p, digits) if digits is not None else p
+            return stable_round(p, digits) if digits is not None else p
     raise KeyError(model)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.derive import stable_round
 
 
 def prevalence(
@@ -74,12 +75,12 @@ def count_by(df: DataFrame, *cols: str) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataFrame:
     """Round every double column (both engines' last bits differ)."""
     out = []
     for f in df.schema.fields:
-        if f.dataType.typeName() in ("double", "float"):
-            out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+        if f.dataType.typeName() in ("double", "float") and f.name not in skip:
+            out.append(stable_round(F.col(f.name), digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

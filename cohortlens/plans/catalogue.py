@@ -8,9 +8,6 @@ to six places.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -18,17 +15,7 @@ from ..operators import grouping as G
 from ..sources import schema as SC
 from ..sources import tables as T
 from . import oracle_sql as S
-
-QueryFn = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, tuple[QueryFn, str | None]] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return register
+from .registry import QUERIES, query
 
 
 # ===================================================================== scans
@@ -126,3 +113,7 @@ FROM cohort GROUP BY ROLLUP (region, country)""",
 )
 def prevalence_rollup(spark, sf_dir):
     return G.rounded(G.prevalence_rollup(T.cohort(spark, sf_dir)))
+
+
+# the other topic modules register themselves on import
+from . import profiles as _profiles  # noqa: E402,F401
