@@ -76,7 +76,7 @@ def with_cohort(*ctes: str) -> str:
 
 
 SCORES_CTE = "scores AS (\n  " + "\n  UNION ALL ".join(
-    f"SELECT {KEY_LIST}, h_split, outcome, {q(name)} AS model, {i} AS model_order, {score_sql(name)} AS p FROM cohort"
+    f"SELECT {KEY_LIST}, h_split, outcome, country, {q(name)} AS model, {i} AS model_order, {score_sql(name)} AS p FROM cohort"
     for i, (name, _, _) in enumerate(C.SCORE_MODELS)
 ) + "\n)"
 
