@@ -118,3 +118,4 @@ def prevalence_rollup(spark, sf_dir):
 # the other topic modules register themselves on import
 from . import profiles as _profiles  # noqa: E402,F401
 from . import scoring_queries as _scoring  # noqa: E402,F401
+from . import neighbours as _neighbours  # noqa: E402,F401
