@@ -69,11 +69,24 @@ def logistic(n_train: int, C: float = 1.0, max_iter: int = 1000, **kw) -> Logist
 
 def random_forest(trees: int = 200, depth: int = 10, seed: int = 42, **kw) -> RandomForestClassifier:
     """Unbounded depth is not available in Spark (max 30); depth is capped for cost."""
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, **kw)
+    return RandomForestClassifier(
+        numTrees=trees,
+        maxDepth=depth,
+        featureSubsetStrategy="sqrt",
+        seed=seed,
+        maxMemoryInMB=1024,  # more nodes per pass over the data: fewer jobs per tree level
+        cacheNodeIds=True,
+        checkpointInterval=10,
+        **kw,
+    )
 
 
 def boosted_trees(rounds: int = 150, step: float = 0.05, depth: int = 4, seed: int = 42, **kw) -> GBTClassifier:
-    return GBTClassifier(maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed, **kw)
+    # checkpointInterval cuts the lineage of the boosting iterations into the
+    # shared checkpoint folder (spark.checkpoint.dir)
+    return GBTClassifier(
+        maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed, cacheNodeIds=True, checkpointInterval=10, **kw
+    )
 
 
 # --------------------------------------------------------- RBF kernel SVM

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -50,12 +51,17 @@ def class_ranks(
     return ranked.withColumnRenamed("cum__one", alias).drop("_b", "_one"), sizes
 
 
-def stratified_split(df: DataFrame, test_share: float = 0.2, label: str = C.LABEL, **kw) -> DataFrame:
-    """Exactly ceil(test_share * n_class) test rows per class (lowest hash ranks)."""
+def stratified_split(df: DataFrame, test_share: float | Fraction = 0.2, label: str = C.LABEL, **kw) -> DataFrame:
+    """Exactly ceil(test_share * n_class) test rows per class (lowest hash ranks).
+
+    The share is taken as the exact decimal it is written as (0.2 = 1/5), so
+    the cut does not depend on binary rounding of ``0.2 * n``.
+    """
+    share = test_share if isinstance(test_share, Fraction) else Fraction(str(test_share))
     ranked, sizes = class_ranks(df, label, **kw)
     cut = None
     for cls, n in sizes.items():
-        cond = (F.col(label) == F.lit(cls)) & (F.col("rank") <= F.lit(math.ceil(test_share * n)))
+        cond = (F.col(label) == F.lit(cls)) & (F.col("rank") <= F.lit(math.ceil(share * n)))
         cut = cond if cut is None else (cut | cond)
     is_t = cut if cut is not None else F.lit(False)
     return ranked.withColumn("part", F.when(is_t, F.lit("test")).otherwise(F.lit("train")))
@@ -112,3 +118,19 @@ class PopStandardScalerModel(Model, _ScalerParams, DefaultParamsReadable, Defaul
             scale = s if s and s > 0 else 1.0
             exprs[o] = (F.col(c).cast("double") - F.lit(float(m))) / F.lit(float(scale))
         return dataset.withColumns(exprs)
+
+
+def one_hot_stages(col: str, out: str | None = None) -> list:
+    """``StringIndexer`` + ``OneHotEncoder`` that drop the alphabetically *first* level.
+
+    ``alphabetDesc`` gives the first level the last index and ``dropLast``
+    drops it, matching the drop-first convention (Spark's defaults would drop
+    the least frequent level instead).
+    """
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    idx = f"_{col}_idx"
+    return [
+        StringIndexer(inputCol=col, outputCol=idx, stringOrderType="alphabetDesc", handleInvalid="error"),
+        OneHotEncoder(inputCols=[idx], outputCols=[out or f"{col}_vec"], dropLast=True),
+    ]

@@ -121,3 +121,4 @@ from . import scoring_queries as _scoring  # noqa: E402,F401
 from . import neighbours as _neighbours  # noqa: E402,F401
 from . import experiments as _experiments  # noqa: E402,F401
 from . import stream_queries as _stream  # noqa: E402,F401
+from . import reports as _reports  # noqa: E402,F401

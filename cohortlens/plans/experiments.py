@@ -40,25 +40,33 @@ def prepared(spark, sf_dir: str, folds: bool = False) -> DataFrame:
     if folds:
         c = fold_column(c, C.N_FOLDS)
     cols = [*C.KEYS, *FEATURES, F.col(C.LABEL).cast("double").alias(LABEL_COL), "h_split"] + (["fold"] if folds else [])
-    data = c.select(*cols).checkpoint(eager=True)
-    return data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = c.select(*cols)
+    # iterative fits parallelise over partitions: never fewer than the cores
+    cores = spark.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:
+        data = data.repartition(cores)
+    return data.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def split(data: DataFrame) -> tuple[DataFrame, DataFrame]:
     return data.where(~is_test("h_split")), data.where(is_test("h_split"))
 
 
-def classifier(name: str, n_train: int) -> Pipeline:
-    stages = M.feature_stages(FEATURES)
-    model = {
+def head(name: str, n_train: int):
+    """The estimator that reads ``features`` (no feature stages)."""
+    if name == "rbf_svm":
+        return M.rbf_svm(n_train, len(FEATURES))
+    return {
         "logistic_regression": lambda: M.logistic(n_train, labelCol=LABEL_COL),
         "random_forest": lambda: M.random_forest(labelCol=LABEL_COL),
         "gradient_boosting": lambda: M.boosted_trees(labelCol=LABEL_COL),
         "xgboost_like": lambda: M.boosted_trees(rounds=100, step=0.3, depth=6, labelCol=LABEL_COL),
-    }
-    if name == "rbf_svm":
-        return Pipeline(stages=stages + M.rbf_svm(n_train, len(FEATURES)).getStages())
-    return Pipeline(stages=stages + [model[name]()])
+    }[name]()
+
+
+def classifier(name: str, n_train: int) -> Pipeline:
+    """Scaler + assembler (fitted on the training rows) + the model."""
+    return Pipeline(stages=M.feature_stages(FEATURES) + [head(name, n_train)])
 
 
 METRIC_COLS = ["accuracy", "precision", "recall", "f1"]
@@ -122,8 +130,9 @@ def soft_vote(spark, sf_dir):
     data = prepared(spark, sf_dir)
     train, test = split(data)
     n = train.count()
-    members = [(m, classifier(m, n)) for m in ("logistic_regression", "random_forest", "gradient_boosting")]
-    scored = M.SoftVotingClassifier(members).fit(train).transform(test)
+    members = [(m, head(m, n)) for m in ("logistic_regression", "random_forest", "gradient_boosting")]
+    voter = Pipeline(stages=M.feature_stages(FEATURES) + [M.SoftVotingClassifier(members)])
+    scored = voter.fit(train).transform(test)
     return G.rounded(metrics_with_auc(scored.withColumn("model", F.lit("soft_vote")), ["model"]))
 
 
