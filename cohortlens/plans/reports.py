@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..sources.io import write_csv_report, write_tables
-from .registry import QUERIES
 
 CHART_TABLES = [
     "roc_curve",
@@ -31,9 +30,13 @@ CHART_TABLES = [
 
 def write_chart_data(spark: SparkSession, sf_dir: str, out_dir: str, names=CHART_TABLES) -> dict[str, str]:
     """Write one table per chart under ``out_dir`` (overwrite); returns paths."""
+    from .catalogue import QUERIES
+
     return write_tables({n: QUERIES[n][0](spark, sf_dir) for n in names}, out_dir)
 
 
 def write_prediction_report(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
     """The prediction report over every scored test row, as CSV with header."""
+    from .catalogue import QUERIES
+
     write_csv_report(QUERIES["prediction_report"][0](spark, sf_dir), out_dir)
