@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import materialize
 from ..functions.derive import dbl, fixed_score, predicted_label
 from .ordered import approx_splits, bucket_count, bucketize, running_totals
 
@@ -82,9 +83,11 @@ def roc_curve(df: DataFrame, by: Sequence[str], label: str, score: str, origin:
     ``origin`` adds the (0, 0) point with an infinite threshold.
     """
     by = list(by)
-    counts = score_counts(df, by, label, score)
-    n = df.count()
-    splits = approx_splits(df.select(score), [score], bucket_count(n))
+    # the windows below run over distinct scores: cut buckets on those, and
+    # read the (aggregated) input once for the passes that follow
+    counts = materialize(score_counts(df, by, label, score))
+    n = counts.count()
+    splits = approx_splits(counts, ["threshold"], bucket_count(n))
     staged = bucketize(counts, ["threshold"], ["_b"], splits)
     cum = running_totals(staged, by, "_b", [F.col("threshold").desc()], ["pos", "neg"], descending=True)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))

@@ -24,6 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 ROWS_PER_BUCKET = 2_000_000
 MIN_BUCKETS = 16
 MAX_BUCKETS = 1 << 16
@@ -105,7 +107,8 @@ def exact_quantiles(
     """
     by = list(by)
     cols = list(cols)
-    vals = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    # three passes follow (count, boundaries, exact ranks): read the input once
+    vals = materialize(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]))
     n = vals.count()
     buckets = bucket_count(n, rows_per_bucket)
     splits = approx_splits(vals, cols, buckets)

@@ -164,6 +164,7 @@ def cv_scores(spark, sf_dir):
         estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=BinaryClassificationEvaluator(labelCol=LABEL_COL),
         foldCol="fold",
+        numFolds=C.N_FOLDS,
         collectSubModels=True,
         parallelism=C.N_FOLDS,
     )
@@ -178,16 +179,26 @@ def cv_scores(spark, sf_dir):
     return G.rounded(metrics_with_auc(scored, ["fold"]))
 
 
+COMPARED = ["logistic_regression", "random_forest", "rbf_svm", "xgboost_like", "knn"]
+
+
 @query("model_comparison")
 def model_comparison(spark, sf_dir):
     """Per-model mean and std (sample and population) of fold metrics."""
     data = prepared(spark, sf_dir, folds=True)
-    rows = []
-    for fold in range(C.N_FOLDS):
+    sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+    total = sum(sizes.values())
+
+    def run(task):
+        fold, name = task
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        n = train.count()
-        for name in ("logistic_regression", "random_forest", "rbf_svm", "knn"):
-            rows.append(_fit_and_score(name, train, test, n).withColumn("fold", F.lit(fold)).checkpoint(eager=True))
+        scored = _fit_and_score(name, train, test, total - sizes.get(fold, 0))
+        return scored.withColumn("fold", F.lit(fold)).checkpoint(eager=True)
+
+    # independent fits: submitted concurrently so their jobs share the cluster
+    tasks = [(fold, name) for fold in range(C.N_FOLDS) for name in COMPARED]
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = list(pool.map(run, tasks))
     union = rows[0]
     for r in rows[1:]:
         union = union.unionByName(r)
@@ -229,9 +240,10 @@ def feature_importance(spark, sf_dir):
     data = prepared(spark, sf_dir)
     train, _ = split(data)
     n = train.count()
-    rows = []
-    for name in ("logistic_regression", "random_forest", "gradient_boosting"):
-        rows += importance_rows(name, classifier(name, n).fit(train))
+    names = ("logistic_regression", "random_forest", "gradient_boosting")
+    with ThreadPoolExecutor(max_workers=len(names)) as pool:
+        fitted = list(pool.map(lambda name: classifier(name, n).fit(train), names))
+    rows = [r for name, model in zip(names, fitted) for r in importance_rows(name, model)]
     long = spark.createDataFrame(rows, "model string, feature string, raw double")
     return G.rounded(E.normalise(long, ["model"], "raw", "importance").select("model", "feature", "importance"))
 

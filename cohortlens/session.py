@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -52,3 +53,13 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 
 def unique_suffix() -> str:
     return f"{os.getpid()}-{os.urandom(4).hex()}"
+
+
+def materialize(df):
+    """Write ``df`` once as a reliable checkpoint in the shared folder.
+
+    For multi-pass operators: later passes read the checkpoint instead of
+    recomputing the lineage (joins), and a lost executor re-reads it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
