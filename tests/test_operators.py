@@ -254,3 +254,26 @@ def test_results_invariant_under_repartition(spark):
     a = E.auc(_scored(spark, rows), ["model"], "y", "p").first().auc
     b = E.auc(_scored(spark, rows).repartition(13), ["model"], "y", "p").first().auc
     assert a == b
+
+
+def test_norm_table_truncates_listed_statistics(spark):
+    from cohortlens.operators.scoring import norm_table
+
+    rows = {r.feature: (r.mean, r.std) for r in norm_table(spark, truncate=["l_quantity"]).collect()}
+    assert rows["l_quantity"] == (25.0, 14.0)
+    assert rows["p_size"] == (25.5, 14.4)
+
+
+def test_alert_names_and_validation_reason(spark):
+    from cohortlens.functions.derive import alert_names
+    from cohortlens.operators.scoring import validate
+
+    df = spark.createDataFrame(
+        [(46.0, -1.0, 500000.0, 0.05, 0.04, 1000.0, 900.0, 10), (10.0, 100.0, 1000.0, 0.05, 0.04, 1000.0, 900.0, 10)],
+        "l_quantity double, c_acctbal double, o_totalprice double, l_discount double, l_tax double, "
+        "l_extendedprice double, p_retailprice double, p_size int",
+    )
+    alerts = [r.a for r in df.select(alert_names().alias("a")).collect()]
+    assert alerts == [["high_quantity", "negative_balance", "large_order"], []]
+    v = [(r.status, r.reason) for r in validate(df).collect()]
+    assert v == [(C.REJECTED, "c_acctbal"), (C.VALID, C.NO_REASON)]
