@@ -98,6 +98,7 @@ def exact_quantiles(
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
     name_col: str = "feature",
+    materialized: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy's default, DuckDB ``quantile_cont``).
 
@@ -108,7 +109,9 @@ def exact_quantiles(
     by = list(by)
     cols = list(cols)
     # three passes follow (count, boundaries, exact ranks): read the input once
-    vals = materialize(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]))
+    vals = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    if not materialized:
+        vals = materialize(vals)
     n = vals.count()
     buckets = bucket_count(n, rows_per_bucket)
     splits = approx_splits(vals, cols, buckets)
