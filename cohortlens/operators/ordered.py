@@ -103,8 +103,9 @@ def exact_quantiles(
     """Exact linear-interpolated quantiles (numpy's default, DuckDB ``quantile_cont``).
 
     Returns ``(by..., feature, prob, value)``.  Nulls and NaN are skipped.
-    Only the buckets that hold the two ranks around each target are ranked
-    exactly; everything else is counted.
+    Bucket sizes come from a partial aggregate; only the buckets that hold
+    the two ranks around each target are expanded to distinct values and
+    ranked exactly.
     """
     by = list(by)
     cols = list(cols)
@@ -126,8 +127,9 @@ def exact_quantiles(
         .withColumn("_g", F.lit(0))
     )
     keys = ["_g", *by, name_col]
-    dist = long.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    totals = dist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bt"))
+    # bucket sizes straight from the rows (partial aggregation: the shuffle
+    # carries one row per bucket and partition)
+    totals = long.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bt"))
     w_off = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(
         *keys,
@@ -145,16 +147,21 @@ def exact_quantiles(
         .withColumn("_k1", F.ceil("_pos"))
     )
     holds = lambda k: (F.col(k) >= F.col("_bo")) & (F.col(k) < F.col("_bo") + F.col("_bt"))
+    # at most two buckets per (group, prob): a table bounded by the number of
+    # targets, so broadcasting it is safe whatever the row count
     needed = (
         offs.join(targets.select(*keys, "_k0", "_k1"), keys)
         .where(holds("_k0") | holds("_k1"))
         .select(*keys, "_b", "_bo")
         .distinct()
     )
+    # distinct values (with multiplicity) of the needed buckets only
+    dist = long.join(F.broadcast(needed), [*keys, "_b"]).groupBy(*keys, "_b", "_bo", "_v").agg(
+        F.count(F.lit(1)).alias("_c")
+    )
     w_in = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
-        dist.join(needed, [*keys, "_b"])
-        .withColumn("_cum", F.col("_bo") + F.sum("_c").over(w_in))
+        dist.withColumn("_cum", F.col("_bo") + F.sum("_c").over(w_in))
         .withColumn("_start", F.col("_cum") - F.col("_c"))
     )
     inside = lambda k: (F.col("_start") <= F.col(k)) & (F.col(k) < F.col("_cum"))

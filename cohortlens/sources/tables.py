@@ -123,3 +123,21 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events")
+
+
+def write_cohort(spark: SparkSession, sf_dir: str, path: str | None = None, partition_by: str | None = "region") -> DataFrame:
+    """Run the cohort joins once and keep the result as a parquet table.
+
+    For repeated analytics over the same inputs: every later profile scans
+    this table (filters on ``region`` prune whole folders, column pruning
+    and predicate pushdown apply) instead of re-running the three-way join.
+    The default location is below the shared folder (``spark.checkpoint.dir``).
+    """
+    from ..session import shared_path, unique_suffix
+
+    target = path or shared_path(spark, "tables", f"cohort-{unique_suffix()}")
+    writer = cohort(spark, sf_dir).write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(target)
+    return spark.read.parquet(target)

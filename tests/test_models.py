@@ -92,3 +92,15 @@ def test_chart_data_tables_written(spark, tmp_path):
     paths = write_chart_data(spark, SF_SMALL, str(tmp_path / "charts"), names=["roc_curve", "confusion_matrix"])
     assert spark.read.parquet(paths["confusion_matrix"]).count() == 6
     assert spark.read.parquet(paths["roc_curve"]).count() > 3
+
+
+def test_written_cohort_equals_lazy_cohort(spark, tmp_path):
+    from cohortlens.operators.grouping import prevalence
+    from cohortlens.sources.tables import write_cohort
+
+    stored = write_cohort(spark, SF_SMALL, str(tmp_path / "cohort"))
+    lazy = cohort(spark, SF_SMALL)
+    assert stored.count() == lazy.count() == 6000
+    a = {r.country: r.prevalence for r in prevalence(stored, region="ASIA").collect()}
+    b = {r.country: r.prevalence for r in prevalence(lazy, region="ASIA").collect()}
+    assert a == b and len(a) == 4
