@@ -15,6 +15,8 @@ double column ``score`` (probability of the positive class) plus ``pred``
 
 from __future__ import annotations
 
+import importlib
+import json
 import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -32,7 +34,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasInputCols, HasOutputCol, HasSeed
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,7 +184,7 @@ class SoftVotingClassifier(Estimator, HasFeaturesCol):
         return SoftVotingModel(fitted)
 
 
-class SoftVotingModel(Model):
+class SoftVotingModel(Model, MLWritable, MLReadable):
     def __init__(self, fitted: Sequence[tuple[str, Model]]):
         super().__init__()
         self.fitted = list(fitted)
@@ -200,6 +202,44 @@ class SoftVotingModel(Model):
         mean = sum(probs[1:], probs[0]) / F.lit(float(len(probs)))
         return out.withColumn(SCORE, mean).withColumn(PRED, predicted_label(F.col(SCORE)))
 
+    def write(self) -> MLWriter:
+        return _SoftVotingWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _SoftVotingReader()
+
+
+class _SoftVotingWriter(MLWriter):
+    """Members saved with their own writers under ``member_i``; names and
+    classes in a one-line JSON ``metadata`` table."""
+
+    def __init__(self, instance: SoftVotingModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        meta = [
+            {"name": name, "class": f"{type(m).__module__}.{type(m).__name__}", "dir": f"member_{i}"}
+            for i, (name, m) in enumerate(self.instance.fitted)
+        ]
+        self.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(
+            "overwrite"
+        ).text(f"{path}/metadata")
+        for entry, (_, m) in zip(meta, self.instance.fitted):
+            m.write().overwrite().save(f"{path}/{entry['dir']}")
+
+
+class _SoftVotingReader(MLReader):
+    def load(self, path: str) -> SoftVotingModel:
+        meta = json.loads(self.sparkSession.read.text(f"{path}/metadata").first()[0])
+        fitted = []
+        for entry in meta:
+            module, _, name = entry["class"].rpartition(".")
+            cls = getattr(importlib.import_module(module), name)
+            fitted.append((entry["name"], cls.load(f"{path}/{entry['dir']}")))
+        return SoftVotingModel(fitted)
+
 
 def fit_scored(estimator: Estimator, train: DataFrame, test: DataFrame) -> tuple[Model, DataFrame]:
     """Fit on ``train`` and score ``test`` (adds ``score`` and ``pred``)."""

@@ -104,3 +104,18 @@ def test_written_cohort_equals_lazy_cohort(spark, tmp_path):
     a = {r.country: r.prevalence for r in prevalence(stored, region="ASIA").collect()}
     b = {r.country: r.prevalence for r in prevalence(lazy, region="ASIA").collect()}
     assert a == b and len(a) == 4
+
+
+def test_soft_voting_model_persists(spark, tmp_path):
+    c = cohort(spark, SF_SMALL).select(*C.FEATURES, F.col("outcome").cast("double").alias("label"))
+    prep = Pipeline(stages=M.feature_stages(C.FEATURES)).fit(c)
+    x = prep.transform(c)
+    members = [("lr", M.logistic(6000, max_iter=50)), ("rf", M.random_forest(trees=5, depth=4)),
+               ("svm", M.rbf_svm(6000, len(C.FEATURES), components=20))]
+    model = M.SoftVotingClassifier(members).fit(x)
+    path = str(tmp_path / "vote")
+    model.write().save(path)
+    again = M.SoftVotingModel.load(path)
+    a = [r.score for r in model.transform(x).select(M.SCORE).collect()]
+    b = [r.score for r in again.transform(x).select(M.SCORE).collect()]
+    assert a == b and all(0.0 <= v <= 1.0 for v in a)

@@ -277,3 +277,48 @@ def test_alert_names_and_validation_reason(spark):
     assert alerts == [["high_quantity", "negative_balance", "large_order"], []]
     v = [(r.status, r.reason) for r in validate(df).collect()]
     assert v == [(C.REJECTED, "c_acctbal"), (C.VALID, C.NO_REASON)]
+
+
+# ------------------------------------------------------- library cross-checks
+def test_auc_matches_spark_evaluator_without_binning(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rng = random.Random(21)
+    rows = [("m", rng.randint(0, 1), round(rng.random(), 2)) for _ in range(1000)]
+    df = _scored(spark, rows)
+    mine = E.auc(df, ["model"], "y", "p").first().auc
+    raw = df.select(F.col("y").cast("double").alias("label"), array_to_vector(F.array(1 - F.col("p"), F.col("p"))).alias("raw"))
+    theirs = BinaryClassificationEvaluator(rawPredictionCol="raw", labelCol="label", numBins=0).evaluate(raw)
+    assert abs(mine - theirs) < 1e-12
+
+
+def test_kde_matches_mllib_kernel_density(spark):
+    from pyspark.mllib.stat import KernelDensity
+
+    rng = random.Random(4)
+    xs = [rng.gauss(2, 1.5) for _ in range(400)]
+    df = spark.createDataFrame([(0, x) for x in xs], "g int, x double")
+    mine = sorted((r.x, r.density) for r in ST.kde_curve(df, "x", "g", 50).collect())
+    h = len(xs) ** -0.2 * float(np.std(xs, ddof=1))
+    kd = KernelDensity()
+    kd.setSample(spark.sparkContext.parallelize(xs))
+    kd.setBandwidth(h)
+    theirs = kd.estimate([x for x, _ in mine])
+    for (_, a), b in zip(mine, theirs):
+        assert math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_corr_matches_ml_stat_correlation(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    rng = np.random.RandomState(9)
+    data = rng.normal(size=(500, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.3], [0, 0, 1]]) + [1e5, 0, -3]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "a double, b double, c double")
+    mine = {(r.feature_i, r.feature_j): r.corr for r in ST.corr_matrix(df, ["a", "b", "c"]).collect()}
+    vec = VectorAssembler(inputCols=["a", "b", "c"], outputCol="v").transform(df)
+    m = Correlation.corr(vec, "v").first()[0].toArray()
+    for i, a in enumerate("abc"):
+        for j, b in enumerate("abc"):
+            assert abs(mine[(a, b)] - m[i, j]) < 1e-9
