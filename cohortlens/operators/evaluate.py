@@ -64,7 +64,8 @@ def confusion_matrix(df: DataFrame, by: Sequence[str], label: str, pred: str, la
     counts = df.groupBy(*by, F.col(label).alias("label")).agg(
         *[F.sum(_is(pred, v)).alias(f"pred_{v}") for v in labels]
     )
-    frame = df.select(*by).distinct().select(*by, F.explode(F.array(*[F.lit(v) for v in labels])).alias("label"))
+    # the (group x label) frame comes from the aggregated counts: one pass over the rows
+    frame = counts.select(*by).distinct().select(*by, F.explode(F.array(*[F.lit(v) for v in labels])).alias("label"))
     return frame.join(counts, [*by, "label"], "left").select(
         *by, "label", *[F.coalesce(F.col(f"pred_{v}"), F.lit(0)).cast("bigint").alias(f"pred_{v}") for v in labels]
     )

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.derive import stable_round
+from ..session import materialize
 
 
 def prevalence(
@@ -38,9 +39,14 @@ def prevalence(
 
 
 def share_of_total(df: DataFrame, value: str, alias: str = "share") -> DataFrame:
-    """``value / sum(value)`` over a small aggregated table (one row per group)."""
-    total = F.sum(F.col(value)).over(Window.partitionBy())
-    return df.withColumn(alias, F.try_divide(F.col(value), total))
+    """``value / sum(value)`` over an aggregated table (one row per group).
+
+    The table is checkpointed once; its total is one number brought to the
+    driver and applied as a literal (no single-partition window).
+    """
+    table = materialize(df)
+    total = table.agg(F.sum(F.col(value)).alias("t")).first()["t"]
+    return table.withColumn(alias, F.try_divide(F.col(value), F.lit(total).cast("double")))
 
 
 def level_name(levels: Sequence[str]) -> Column:
