@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.derive import is_test
+from ..session import materialize
 from .ordered import bucket_count, hash_bucket, running_totals
 from .stats import mean_pop_std
 
@@ -44,6 +45,8 @@ def class_ranks(
     Returns the ranked frame and the class sizes (one number per class, the
     only values brought to the driver).
     """
+    # read three times (class sizes, bucket totals, ranks): compute it once
+    df = materialize(df)
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     buckets = bucket_count(max(sizes.values(), default=0))
     staged = df.withColumn("_b", hash_bucket(F.col(h), buckets)).withColumn("_one", F.lit(1))
