@@ -112,9 +112,7 @@ def standardize(spark, sf_dir):
     "WHERE region <> (SELECT min(region) FROM cohort) GROUP BY region",
 )
 def one_hot(spark, sf_dir):
-    c = T.cohort(spark, sf_dir)
-    encoded, names = ST.one_hot(c, "region", drop_first=True)
-    return ST.column_sums(encoded, names)
+    return ST.one_hot_counts(T.cohort(spark, sf_dir), "region", drop_first=True)
 
 
 def _boxplot_sql() -> str:

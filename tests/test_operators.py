@@ -322,3 +322,11 @@ def test_corr_matches_ml_stat_correlation(spark):
     for i, a in enumerate("abc"):
         for j, b in enumerate("abc"):
             assert abs(mine[(a, b)] - m[i, j]) < 1e-9
+
+
+def test_one_hot_counts_equal_indicator_sums(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), ("c",), (None,)], "r string")
+    out, names = ST.one_hot(df, "r")
+    sums = {r.level: r.n for r in ST.column_sums(out, names).collect()}
+    counts = {r.level: r.n for r in ST.one_hot_counts(df, "r").collect()}
+    assert sums == counts == {"r_b": 1, "r_c": 2}
