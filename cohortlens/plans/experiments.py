@@ -73,9 +73,14 @@ METRIC_COLS = ["accuracy", "precision", "recall", "f1"]
 
 
 def metrics_with_auc(scored: DataFrame, by: list[str]) -> DataFrame:
-    m = E.binary_metrics(scored, by, LABEL_COL, M.PRED, scale=1.0)
-    a = E.auc(scored.withColumn(LABEL_COL, F.col(LABEL_COL).cast("int")), by, LABEL_COL, M.SCORE)
-    return m.join(a, by) if by else m.crossJoin(a)
+    """accuracy, precision, recall, F1 (fractions) and exact AUC per group."""
+    keys = list(by) or ["_all"]
+    if not by:
+        scored = scored.withColumn("_all", F.lit(0))
+    m = E.binary_metrics(scored, keys, LABEL_COL, M.PRED, scale=1.0)
+    a = E.auc(scored.withColumn(LABEL_COL, F.col(LABEL_COL).cast("int")), keys, LABEL_COL, M.SCORE)
+    out = m.join(a, keys)
+    return out if by else out.drop("_all")
 
 
 def knn_scores(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
