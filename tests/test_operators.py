@@ -330,3 +330,31 @@ def test_one_hot_counts_equal_indicator_sums(spark):
     sums = {r.level: r.n for r in ST.column_sums(out, names).collect()}
     counts = {r.level: r.n for r in ST.one_hot_counts(df, "r").collect()}
     assert sums == counts == {"r_b": 1, "r_c": 2}
+
+
+def test_knn_with_hot_duplicate_vectors_matches_brute_force(spark):
+    rng = np.random.RandomState(3)
+    base = rng.normal(0, 3, size=(40, 4))
+    # a third of the rows share one vector; others repeat a few times
+    vecs = [base[0]] * 100 + [base[1 + (i % 39)] + (0 if i % 4 else rng.normal(0, 0.1, 4)) for i in range(200)]
+    ids = rng.permutation(10_000)[:300]
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(ids, vecs)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    k = 5
+    got = {}
+    for r in knn(df, k, leaf_size=16).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.neighbour_id))
+    arr = np.array(vecs)
+    for qi, q in enumerate(ids):
+        d = ((arr - arr[qi]) ** 2).sum(axis=1)
+        order = [int(ids[j]) for j in sorted(range(300), key=lambda j: (round(d[j], 9), ids[j])) if j != qi][:k]
+        assert [n for _, n in sorted(got[int(q)])] == order
+    # searching a second table against the first
+    qdf = spark.createDataFrame(rows[:30], "vec_id long, embedding array<double>").withColumn("vec_id", F.col("vec_id") + 100_000)
+    got2 = {}
+    for r in knn(df, k, leaf_size=16, queries=qdf).collect():
+        got2.setdefault(r.query_id, []).append((r.rank, r.neighbour_id))
+    for qi in range(30):
+        d = ((arr - arr[qi]) ** 2).sum(axis=1)
+        order = [int(ids[j]) for j in sorted(range(300), key=lambda j: (round(d[j], 9), ids[j]))][:k]
+        assert [n for _, n in sorted(got2[int(ids[qi]) + 100_000])] == order
