@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+
 from ..functions.derive import (
+    alert_names,
     dbl,
+    fixed_score,
     prediction_text,
     risk_message,
+    risk_tier,
     rule_hit,
     validation_status,
     violation_reason,
@@ -88,3 +93,30 @@ def report_rows(df: DataFrame, score: str, keep: Sequence[str]) -> DataFrame:
         prediction_text(p).alias("prediction"),
         risk_message(p).alias("message"),
     )
+
+
+def score_requests(requests: DataFrame, model=None, defaults: dict | None = None) -> DataFrame:
+    """Score a table of requests the way a single request is scored, for all rows.
+
+    Missing inputs take ``defaults`` (feature -> value); every row is checked
+    against the bounds (``status``/``reason``), scored with a fitted
+    ``pyspark.ml`` model (positive-class probability) or, without one, with
+    the fixed ``full`` score, and gets prediction, tier, message and alerts.
+    """
+    filled = requests
+    for f, v in (defaults or {}).items():
+        filled = filled.withColumn(f, F.coalesce(F.col(f), F.lit(v)))
+    checked = validate(filled)
+    if model is None:
+        scored = checked.withColumn("_p", fixed_score("full"))
+    else:
+        scored = model.transform(checked).withColumn("_p", vector_to_array(F.col("probability"))[1])
+    keep = [c for c in requests.columns] + ["status", "reason"]
+    return scored.select(
+        *keep,
+        F.round(F.col("_p") * dbl(100.0), 4).alias("probability_pct"),
+        prediction_text(F.col("_p")).alias("prediction"),
+        risk_tier(F.col("_p")).alias("tier"),
+        risk_message(F.col("_p")).alias("message"),
+        alert_names().alias("alerts"),
+    )

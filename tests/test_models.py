@@ -118,3 +118,17 @@ def test_soft_voting_model_persists(spark, tmp_path):
     a = [r.score for r in model.transform(x).select(M.SCORE).collect()]
     b = [r.score for r in again.transform(x).select(M.SCORE).collect()]
     assert a == b and all(0.0 <= v <= 1.0 for v in a)
+
+
+def test_score_requests_fixed_and_fitted(spark):
+    from cohortlens.operators.scoring import score_requests
+
+    reqs = cohort(spark, SF_SMALL).select(*C.FEATURES).limit(50).withColumn("l_tax", F.lit(None).cast("double"))
+    out = score_requests(reqs, defaults={"l_tax": 0.04})
+    rows = out.collect()
+    assert len(rows) == 50 and all(r.l_tax == 0.04 for r in rows)
+    assert {r.tier for r in rows} <= {C.TIER_HIGH, C.TIER_MODERATE, C.TIER_LOW}
+    train = cohort(spark, SF_SMALL).select(*C.FEATURES, F.col("outcome").cast("double").alias("label"))
+    model = Pipeline(stages=M.feature_stages(C.FEATURES) + [M.logistic(6000, max_iter=30)]).fit(train)
+    fitted = score_requests(reqs, model=model, defaults={"l_tax": 0.04}).collect()
+    assert all(0.0 <= r.probability_pct <= 100.0 for r in fitted)
