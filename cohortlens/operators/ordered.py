@@ -28,11 +28,14 @@ from ..session import materialize
 
 ROWS_PER_BUCKET = 2_000_000
 MIN_BUCKETS = 16
+# sampled boundaries: the approx_percentile sketch grows with the bucket count
 MAX_BUCKETS = 1 << 16
+# hash buckets need no sketch; their offsets table is (groups x buckets) rows
+MAX_HASH_BUCKETS = 1 << 22
 
 
-def bucket_count(n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(n / max(1, rows_per_bucket)))))
+def bucket_count(n: int, rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> int:
+    return int(min(max_buckets, max(MIN_BUCKETS, math.ceil(n / max(1, rows_per_bucket)))))
 
 
 def approx_splits(df: DataFrame, cols: Sequence[str], buckets: int) -> list[list[float]]:

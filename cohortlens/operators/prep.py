@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.derive import is_test
 from ..session import materialize
-from .ordered import bucket_count, hash_bucket, running_totals
+from .ordered import MAX_HASH_BUCKETS, bucket_count, hash_bucket, running_totals
 from .stats import mean_pop_std
 
 
@@ -48,7 +48,7 @@ def class_ranks(
     # read three times (class sizes, bucket totals, ranks): compute it once
     df = materialize(df)
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    buckets = bucket_count(max(sizes.values(), default=0))
+    buckets = bucket_count(max(sizes.values(), default=0), max_buckets=MAX_HASH_BUCKETS)
     staged = df.withColumn("_b", hash_bucket(F.col(h), buckets)).withColumn("_one", F.lit(1))
     ranked = running_totals(staged, [label], "_b", [F.col(h), *[F.col(c) for c in tie_breakers]], ["_one"])
     return ranked.withColumnRenamed("cum__one", alias).drop("_b", "_one"), sizes
