@@ -45,6 +45,9 @@ def prepared(spark, sf_dir: str, folds: bool = False) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if data.rdd.getNumPartitions() < cores:
         data = data.repartition(cores)
+    # a unique row id (no hash collisions at any size); the checkpoint fixes
+    # it, so every later read sees the same ids
+    data = data.withColumn("row_id", F.monotonically_increasing_id())
     return data.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -87,7 +90,7 @@ def knn_scores(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """kNN probability = share of positives among the k nearest training rows."""
     scaler = M.PopStandardScaler(inputCols=FEATURES, outputCols=[f"_z_{f}" for f in FEATURES]).fit(train)
     to_vec = lambda df: scaler.transform(df).select(
-        F.xxhash64(*C.KEYS).alias("_key"), F.array(*[f"_z_{f}" for f in FEATURES]).alias("_vec"), LABEL_COL
+        F.col("row_id").alias("_key"), F.array(*[f"_z_{f}" for f in FEATURES]).alias("_vec"), LABEL_COL
     )
     tr, te = to_vec(train), to_vec(test)
     nn = knn(tr, k, id_col="_key", vec_col="_vec", queries=te)

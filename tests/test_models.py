@@ -132,3 +132,14 @@ def test_score_requests_fixed_and_fitted(spark):
     model = Pipeline(stages=M.feature_stages(C.FEATURES) + [M.logistic(6000, max_iter=30)]).fit(train)
     fitted = score_requests(reqs, model=model, defaults={"l_tax": 0.04}).collect()
     assert all(0.0 <= r.probability_pct <= 100.0 for r in fitted)
+
+
+def test_prepared_training_table_has_unique_stable_row_ids(spark):
+    from cohortlens.plans.experiments import prepared
+
+    data = prepared(spark, SF_SMALL)
+    stats = data.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("d")).first()
+    assert stats.n == stats.d == 6000
+    first = sorted(r.row_id for r in data.select("row_id").collect())
+    again = sorted(r.row_id for r in data.select("row_id").collect())
+    assert first == again
