@@ -35,7 +35,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasInputCols, HasOutputCol, HasSeed
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.derive import predicted_label
@@ -69,6 +69,25 @@ def logistic(n_train: int, C: float = 1.0, max_iter: int = 1000, **kw) -> Logist
     )
 
 
+def _memory_mb(text: str | None, default: int = 1024) -> int:
+    if not text:
+        return default
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    t = text.strip().lower().rstrip("b")
+    # a bare number is MiB for Spark's memory settings
+    return int(float(t[:-1]) * units[t[-1]]) if t and t[-1] in units else int(float(t))
+
+
+def tree_memory_mb(cap: int = 1024) -> int:
+    """Histogram memory for tree training: an eighth of the executor heap
+    (the driver's in local mode), capped.  More memory means more nodes per
+    pass over the data, i.e. fewer jobs per tree level."""
+    spark = SparkSession.getActiveSession()
+    conf = spark.sparkContext.getConf() if spark else None
+    heap = _memory_mb(conf.get("spark.executor.memory", conf.get("spark.driver.memory", "1g"))) if conf else 1024
+    return int(max(256, min(cap, heap // 8)))
+
+
 def random_forest(trees: int = 200, depth: int = 10, seed: int = 42, **kw) -> RandomForestClassifier:
     """Unbounded depth is not available in Spark (max 30); depth is capped for cost."""
     return RandomForestClassifier(
@@ -76,7 +95,7 @@ def random_forest(trees: int = 200, depth: int = 10, seed: int = 42, **kw) -> Ra
         maxDepth=depth,
         featureSubsetStrategy="sqrt",
         seed=seed,
-        maxMemoryInMB=1024,  # more nodes per pass over the data: fewer jobs per tree level
+        maxMemoryInMB=tree_memory_mb(),
         cacheNodeIds=True,
         checkpointInterval=10,
         **kw,

@@ -143,3 +143,8 @@ def test_prepared_training_table_has_unique_stable_row_ids(spark):
     first = sorted(r.row_id for r in data.select("row_id").collect())
     again = sorted(r.row_id for r in data.select("row_id").collect())
     assert first == again
+
+
+def test_tree_memory_follows_the_session(spark):
+    assert 256 <= M.tree_memory_mb() <= 1024
+    assert M._memory_mb("16g") == 16384 and M._memory_mb("512m") == 512 and M._memory_mb("2048") == 2048
