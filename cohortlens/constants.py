@@ -118,3 +118,5 @@ KDE_GRID = 200
 # --- fixed values: streaming score of events: logit = (value - 50) / 50 ---
 EVENT_CENTRE = 50.0
 EVENT_SCALE = 50.0
+# input bounds of a scored event (out-of-range rows are flagged, still scored)
+EVENT_BOUNDS = [("value", 0.0, 100.0)]

@@ -16,7 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
-from ..functions.derive import alert_names, dbl, prediction_text, risk_tier, sigmoid, stable_round
+from ..functions.derive import (
+    alert_names,
+    dbl,
+    prediction_text,
+    risk_tier,
+    sigmoid,
+    stable_round,
+    validation_status,
+    violation_reason,
+)
 from ..session import shared_path, unique_suffix
 
 EVENT_SCHEMA = T.StructType(
@@ -37,15 +46,22 @@ def event_score(value: str = "value"):
 
 
 def score_events(events: DataFrame) -> DataFrame:
-    """Stateless scoring of event rows (works on batch and streaming frames)."""
+    """Stateless scoring of event rows (works on batch and streaming frames).
+
+    Every row is scored; rows outside ``EVENT_BOUNDS`` are flagged with
+    ``status``/``reason`` rather than dropped.
+    """
     scored = events.where(F.col("value").isNotNull()).select(
         "event_id", "event_type", "value", event_score().alias("p")
     )
+    reason = violation_reason(C.EVENT_BOUNDS)
     return scored.select(
         "*",
         prediction_text(F.col("p")).alias("prediction"),
         risk_tier(F.col("p")).alias("tier"),
         alert_names([("high_value", "value", ">", 95.0)]).alias("alerts"),
+        validation_status(reason).alias("status"),
+        F.coalesce(reason, F.lit(C.NO_REASON)).alias("reason"),
     )
 
 

@@ -148,3 +148,11 @@ def test_prepared_training_table_has_unique_stable_row_ids(spark):
 def test_tree_memory_follows_the_session(spark):
     assert 256 <= M.tree_memory_mb() <= 1024
     assert M._memory_mb("16g") == 16384 and M._memory_mb("512m") == 512 and M._memory_mb("2048") == 2048
+
+
+def test_stream_rows_carry_validation(spark):
+    scored = score_events(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
+    counts = {r.status: r.n for r in scored.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(counts) <= {C.VALID, C.REJECTED} and sum(counts.values()) == scored.count()
+    bad = scored.where(F.col("status") == C.REJECTED).select("value", "reason").collect()
+    assert all(r.value > 100.0 and r.reason == "value" for r in bad)
