@@ -132,7 +132,8 @@ def round_half_even(x: Column, digits: int) -> Column:
 
 
 def z_score(x: Column, mean: Column, std: Column, digits: int = 2) -> Column:
-    return round_half_even((dbl(x) - dbl(mean)) / dbl(std), digits)
+    """Rounded z; NULL when the std is 0 (e.g. a truncated statistic)."""
+    return round_half_even(F.try_divide(dbl(x) - dbl(mean), dbl(std)), digits)
 
 
 def z_interpretation(z: Column) -> Column:

@@ -358,3 +358,12 @@ def test_knn_with_hot_duplicate_vectors_matches_brute_force(spark):
         d = ((arr - arr[qi]) ** 2).sum(axis=1)
         order = [int(ids[j]) for j in sorted(range(300), key=lambda j: (round(d[j], 9), ids[j]))][:k]
         assert [n for _, n in sorted(got2[int(ids[qi]) + 100_000])] == order
+
+
+def test_degenerate_inputs_do_not_fail(spark):
+    df = spark.createDataFrame([(0, 0.5), (0, 0.5), (1, 0.3), (1, 0.7)], "g int, x double")
+    rows = ST.kde_curve(df, "x", "g", 5).collect()
+    assert all(r.density is None for r in rows if r.g == 0)
+    assert all(r.density is not None and r.density > 0 for r in rows if r.g == 1)
+    same = spark.createDataFrame([("m", 1, 0.5), ("m", 0, 0.5), ("m", 1, 0.5)], "model string, y int, p double")
+    assert E.auc(same, ["model"], "y", "p").first().auc == 0.5
