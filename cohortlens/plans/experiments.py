@@ -204,8 +204,10 @@ def model_comparison(spark, sf_dir):
         return scored.withColumn("fold", F.lit(fold)).checkpoint(eager=True)
 
     # independent fits: submitted concurrently so their jobs share the cluster
+    # (pool width follows the cluster's parallelism: 4 on local[8])
     tasks = [(fold, name) for fold in range(C.N_FOLDS) for name in COMPARED]
-    with ThreadPoolExecutor(max_workers=4) as pool:
+    width = max(2, min(len(tasks), spark.sparkContext.defaultParallelism // 2))
+    with ThreadPoolExecutor(max_workers=width) as pool:
         rows = list(pool.map(run, tasks))
     union = rows[0]
     for r in rows[1:]:
