@@ -153,3 +153,8 @@ def normalise(df: DataFrame, by: Sequence[str], value: str, alias: str) -> DataF
     """``value / sum(value)`` within each group (left unchanged when the sum is 0)."""
     total = F.sum(F.col(value)).over(Window.partitionBy(*by))
     return df.withColumn(alias, F.when(total != 0, F.col(value) / total).otherwise(F.col(value)))
+
+
+def select_model(metrics: DataFrame, name: str, model_col: str = "model") -> DataFrame:
+    """One model's rows of a metrics table (empty when the name is unknown)."""
+    return metrics.where(F.col(model_col) == F.lit(name))

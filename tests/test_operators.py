@@ -367,3 +367,9 @@ def test_degenerate_inputs_do_not_fail(spark):
     assert all(r.density is not None and r.density > 0 for r in rows if r.g == 1)
     same = spark.createDataFrame([("m", 1, 0.5), ("m", 0, 0.5), ("m", 1, 0.5)], "model string, y int, p double")
     assert E.auc(same, ["model"], "y", "p").first().auc == 0.5
+
+
+def test_select_model_picks_one_and_unknown_is_empty(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "model string, accuracy double")
+    assert [r.accuracy for r in E.select_model(df, "b").collect()] == [2.0]
+    assert E.select_model(df, "zzz").isEmpty()
