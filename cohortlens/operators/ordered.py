@@ -38,20 +38,25 @@ def bucket_count(n: int, rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: in
     return int(min(max_buckets, max(MIN_BUCKETS, math.ceil(n / max(1, rows_per_bucket)))))
 
 
-def approx_splits(df: DataFrame, cols: Sequence[str], buckets: int) -> list[list[float]]:
-    """Strictly increasing Bucketizer splits per column, from one aggregation."""
+def _split_aggs(cols: Sequence[str], buckets: int) -> list[Column]:
     fracs = [i / buckets for i in range(1, buckets)]
     accuracy = max(10_000, 8 * buckets)
-    row = df.agg(
-        *[F.approx_percentile(F.col(c).cast("double"), fracs, accuracy).alias(f"_s{i}") for i, c in enumerate(cols)]
-    ).first()
+    return [F.approx_percentile(F.col(c).cast("double"), fracs, accuracy).alias(f"_s{i}") for i, c in enumerate(cols)]
+
+
+def _splits_of(row, n_cols: int) -> list[list[float]]:
     out = []
-    for i in range(len(cols)):
+    for i in range(n_cols):
         inner = sorted({float(x) for x in (row[f"_s{i}"] or []) if x is not None and not math.isnan(x)})
         out.append([-math.inf, *inner, math.inf])
     return out
 
 
+def approx_splits(df: DataFrame, cols: Sequence[str], buckets: int) -> list[list[float]]:
+    """Strictly increasing Bucketizer splits per column, from one aggregation."""
+    return _splits_of(df.agg(*_split_aggs(cols, buckets)).first(), len(cols))
+
+
 def bucketize(df: DataFrame, cols: Sequence[str], out_cols: Sequence[str], splits: list[list[float]]) -> DataFrame:
     if len(cols) == 1:
         b = Bucketizer(splits=splits[0], inputCol=cols[0], outputCol=out_cols[0], handleInvalid="keep")
@@ -116,9 +121,11 @@ def exact_quantiles(
     vals = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     if not materialized:
         vals = materialize(vals)
-    n = vals.count()
-    buckets = bucket_count(n, rows_per_bucket)
-    splits = approx_splits(vals, cols, buckets)
+    # row count and the smallest bucket set in one pass; a second boundary
+    # pass only when the row count asks for more buckets
+    first = vals.agg(F.count(F.lit(1)).alias("_n"), *_split_aggs(cols, MIN_BUCKETS)).first()
+    buckets = bucket_count(first["_n"], rows_per_bucket)
+    splits = _splits_of(first, len(cols)) if buckets == MIN_BUCKETS else approx_splits(vals, cols, buckets)
     bcols = [f"_b{i}" for i in range(len(cols))]
     vb = bucketize(vals, cols, bcols, splits)
     entries = F.array(
