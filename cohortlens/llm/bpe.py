@@ -267,15 +267,16 @@ class _Shared:
         return self.held.value
 
 
-def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, the byte ``offsets`` of the tokens and ``piece_starts`` (code points).
+def encode(docs: DataFrame, ranks_path: str, text: str = "text", places: bool = True) -> DataFrame:
+    """``docs`` with ``ids`` and, with ``places``, the byte ``offsets`` of the tokens and ``piece_starts`` (code points).
 
-    Null text gives null arrays' place to empty ones.  ``docs`` must not have
-    columns of these three names.
+    Null text has empty arrays.  ``docs`` must not have columns of these
+    names.
     """
     import pyarrow as pa
 
     shared = _Shared(docs.sparkSession, ranks_path)
+    names = ["ids", "offsets", "piece_starts"] if places else ["ids"]
 
     def run(batches):
         codec = _codec(shared)
@@ -283,12 +284,13 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
             ids, offsets, starts = [], [], []
             for i, s in codec.encode([t or "" for t in batch.column(text).to_pylist()]):
                 ids.append(i)
-                offsets.append(codec.offsets(i))
-                starts.append(s)
-            arrays = [pa.array(x, type=pa.list_(pa.int32())) for x in (ids, offsets, starts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "ids", "offsets", "piece_starts"])
+                if places:
+                    offsets.append(codec.offsets(i))
+                    starts.append(s)
+            arrays = [pa.array(x, type=pa.list_(pa.int32())) for x in ((ids, offsets, starts) if places else (ids,))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, with_fields(docs, "ids array<int>, offsets array<int>, piece_starts array<int>"))
+    return docs.mapInArrow(run, with_fields(docs, ", ".join(f"{n} array<int>" for n in names)))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:

@@ -104,3 +104,20 @@ class WordHashes(dict):
 
     def of(self, words) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def arrow_schema(ddl: str):
+    """Arrow schema of a flat DDL string, worked out without a session (for tasks)."""
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([pa.field(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
+def arrow_table(rows: list[tuple], schema):
+    """Rows as an Arrow table; ``schema`` is an Arrow schema or a DDL string."""
+    import pyarrow as pa
+
+    arrow = arrow_schema(schema) if isinstance(schema, str) else schema
+    cols = list(zip(*rows, strict=True)) or [[] for _ in arrow]
+    return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bpe, decontam, langid, line_dedup, quality_crf, secrets, warc
+from cohortlens.llm import bpe, decontam, hpylm, langid, line_dedup, near_dup, quality_crf, secrets, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_pitman_yor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), rank_file())
 
@@ -38,6 +42,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.judge(docs, quality_crf.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 SPACE_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -61,12 +73,47 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (FROM often)) AS n_d
 FROM keyed GROUP BY row, doc_id
 """
 
+WORDS_SQL = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+OP7_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {WORDS_SQL.format(LOWER_SQL.format("coalesce(text, '')"))} AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM docs),
+shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y
+  WHERE 100 * n >= 80 * (len(a.s) + len(b.s) - n)),
+arcs AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, arcs.y FROM reach JOIN arcs ON arcs.x = reach.y),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON x = doc_id
+"""
+
+OP10_SQL = f"""
+WITH docs AS (SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM starts JOIN docs USING (doc_id)),
+again AS (SELECT doc_id, i FROM windows WHERE g IN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM again, range(35) AS r(k)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+kept AS (
+  SELECT doc_id, count(*) FILTER (gone.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone.i IS NULL) AS t
+  FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, secrets.ORACLE_SQL),
     "op2_warc_index_merge": (op2_warc_index_merge, warc.ORACLE_SQL),
     "op3_benchmark_decontamination": (op3_benchmark_decontamination, None),
+    "op4_pitman_yor_scoring": (op4_pitman_yor_scoring, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
+    "op7_minhash_near_dedup": (op7_minhash_near_dedup, OP7_SQL),
     "op8_language_id": (op8_language_id, None),
     "op9_quality_rules": (op9_quality_rules, None),
+    "op10_substring_dedup": (op10_substring_dedup, OP10_SQL),
 }
