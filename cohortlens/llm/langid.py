@@ -108,7 +108,7 @@ def word_likelihoods(words: list[bytes], model: LanguageModel) -> np.ndarray:
     return np.add.reduceat(each, first, axis=0)
 
 
-def mixtures(like: np.ndarray, counts: np.ndarray, starts: np.ndarray, rounds: int = 8) -> np.ndarray:
+def mixtures(like: np.ndarray, counts: np.ndarray, starts: np.ndarray, rounds: int = 24) -> np.ndarray:
     """Proportions of the languages in each document.
 
     ``like`` has a row for each language and a column for each (document,
