@@ -42,9 +42,9 @@ NEGATIVE = "Negative"
 TIER_HIGH = "High"
 TIER_MODERATE = "Moderate"
 TIER_LOW = "Low"
-MESSAGE_HIGH = "High risk: please consult a specialist."
-MESSAGE_MODERATE = "Moderate risk: consider lifestyle changes."
-MESSAGE_LOW = "Low risk: keep up the healthy routine."
+MESSAGE_HIGH = "Score in the top tier; a specialist should look at it."
+MESSAGE_MODERATE = "Score in the middle tier; worth a follow-up."
+MESSAGE_LOW = "Score in the bottom tier; nothing to do now."
 ZONE_LOW_BELOW = 0.3
 ZONE_MODERATE_BELOW = 0.7
 ZONE_LOW = "Low Risk"
@@ -70,6 +70,8 @@ NORMS = [
     ("c_acctbal", 4460.0, 3200.0),
     ("p_size", 25.5, 14.4),
 ]
+# integer features whose norm statistics are cut to integers before use
+TRUNCATED_NORMS = ["l_quantity", "p_size"]
 
 # --- fixed values: alert rules (name, feature, comparison, threshold) ---
 ALERT_RULES = [

@@ -54,10 +54,13 @@ def stable_round(c: Column, digits: int = 6) -> Column:
     Summation order moves the last bits of a double; when the exact value is
     a tie at ``digits`` places (common for means of 2-decimal data) rounding
     the binary double would go either way.  The decimal rendering absorbs
-    that noise, so every engine lands on the same side.  Infinities and NaN
-    become NULL.
+    that noise, so every engine lands on the same side.  A value beyond the
+    decimal's range (1e29) has no digits behind the point to round and is
+    kept as it is; infinities and NaN become NULL.
     """
-    return F.round(c.cast("double").try_cast("decimal(38,9)"), digits).cast("double")
+    x = c.cast("double")
+    wide = (F.abs(x) >= dbl(1e28)) & (F.abs(x) < dbl(float("inf")))
+    return F.when(wide, x).otherwise(F.round(x.try_cast("decimal(38,9)"), digits).cast("double"))
 
 
 def fixed_score(model: str, digits: int | None = C.SCORE_DIGITS) -> Column:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..session import materialize
 from ..functions.derive import dbl, fixed_score, predicted_label
-from .ordered import approx_splits, bucket_count, bucketize, running_totals
+from .joins import broadcast_if_bounded
+from .ordered import bucket_count, bucketize, running_totals, sampled_splits
 
 
 def fixed_scores_long(df: DataFrame, keep: Sequence[str], models=C.SCORE_MODELS) -> DataFrame:
@@ -61,14 +62,10 @@ def binary_metrics(df: DataFrame, by: Sequence[str], label: str, pred: str, scal
 
 def confusion_matrix(df: DataFrame, by: Sequence[str], label: str, pred: str, labels=(0, 1)) -> DataFrame:
     """One row per (group, true label) with a count per predicted label; absent cells are 0."""
-    counts = df.groupBy(*by, F.col(label).alias("label")).agg(
-        *[F.sum(_is(pred, v)).alias(f"pred_{v}") for v in labels]
-    )
-    # the (group x label) frame comes from the aggregated counts: one pass over the rows
-    frame = counts.select(*by).distinct().select(*by, F.explode(F.array(*[F.lit(v) for v in labels])).alias("label"))
-    return frame.join(counts, [*by, "label"], "left").select(
-        *by, "label", *[F.coalesce(F.col(f"pred_{v}"), F.lit(0)).cast("bigint").alias(f"pred_{v}") for v in labels]
-    )
+    # one row per group with every cell, then a row per true label: one pass over the rows
+    cells = [F.sum(_is(label, t) * _is(pred, v)).cast("bigint").alias(f"_{t}_{v}") for t in labels for v in labels]
+    entries = [F.struct(F.lit(t).alias("label"), *[F.col(f"_{t}_{v}").alias(f"pred_{v}") for v in labels]) for t in labels]
+    return df.groupBy(*by).agg(*cells).select(*by, F.inline(F.array(*entries)))
 
 
 def score_counts(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
@@ -88,11 +85,11 @@ def roc_curve(df: DataFrame, by: Sequence[str], label: str, score: str, origin:
     # read the (aggregated) input once for the passes that follow
     counts = materialize(score_counts(df, by, label, score))
     n = counts.count()
-    splits = approx_splits(counts, ["threshold"], bucket_count(n))
+    splits = sampled_splits(counts, ["threshold"], bucket_count(n), n)
     staged = bucketize(counts, ["threshold"], ["_b"], splits)
     cum = running_totals(staged, by, "_b", [F.col("threshold").desc()], ["pos", "neg"], descending=True)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    pts = cum.join(totals, by).select(
+    pts = cum.join(broadcast_if_bounded(totals, 100_000), by).select(
         *by,
         "threshold",
         F.try_divide(F.col("cum_neg").cast("double"), F.col("_N").cast("double")).alias("fpr"),

@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_BOUNDED: dict[tuple[int, int], bool] = {}
-
-
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
     Reads at most ``max_rows + 1`` rows (a limit job), so the check itself is
-    cheap whatever the size of ``df``.  Memoised per logical plan.
+    cheap whatever the size of ``df``.  It runs each time: a table may have
+    grown since the last query.
     """
-    key = (df.semanticHash(), max_rows)
-    if key not in _BOUNDED:
-        _BOUNDED[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _BOUNDED[key]
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:

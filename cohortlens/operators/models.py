@@ -88,8 +88,8 @@ def tree_memory_mb(cap: int = 1024) -> int:
     return int(max(256, min(cap, heap // 8)))
 
 
-def random_forest(trees: int = 200, depth: int = 10, seed: int = 42, **kw) -> RandomForestClassifier:
-    """Unbounded depth is not available in Spark (max 30); depth is capped for cost."""
+def random_forest(trees: int = 200, depth: int = 30, seed: int = 42, **kw) -> RandomForestClassifier:
+    """A forest of trees grown as deep as Spark allows (30), unless the caller asks for less."""
     return RandomForestClassifier(
         numTrees=trees,
         maxDepth=depth,
@@ -106,7 +106,7 @@ def boosted_trees(rounds: int = 150, step: float = 0.05, depth: int = 4, seed: i
     # checkpointInterval cuts the lineage of the boosting iterations into the
     # shared checkpoint folder (spark.checkpoint.dir)
     return GBTClassifier(
-        maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed, cacheNodeIds=True, checkpointInterval=10, **kw
+        maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed, maxMemoryInMB=tree_memory_mb(), cacheNodeIds=True, checkpointInterval=10, **kw
     )
 
 
@@ -177,7 +177,7 @@ def rbf_svm(n_train: int, dim: int, C: float = 1.0, gamma: float | None = None,
     return Pipeline(
         stages=[
             RandomFourierFeatures(featuresCol="features", outputCol="_rff", numFeatures=components, gamma=g, inputDim=dim, seed=seed),
-            LinearSVC(featuresCol="_rff", regParam=1.0 / (C * max(1, n_train)), maxIter=100, rawPredictionCol="_svm_raw", predictionCol="_svm_pred"),
+            LinearSVC(featuresCol="_rff", regParam=1.0 / (C * max(1, n_train)), maxIter=100, standardization=False, rawPredictionCol="_svm_raw", predictionCol="_svm_pred"),
             VectorElement(inputCols=["_svm_raw"], outputCol="_margin", index=1),
             LogisticRegression(featuresCol="_margin", regParam=0.0, maxIter=100),
         ]

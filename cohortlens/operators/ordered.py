@@ -6,13 +6,15 @@ model / class) sends every row of the group to one task; Spark's exact
 Both break at scale.  The operators here split the order into buckets whose
 boundaries are a deterministic function of the value:
 
-1. bucket boundaries from ``approx_percentile`` (or directly from a uniform
-   hash), applied per row by ``Bucketizer`` (JVM binary search);
+1. bucket boundaries from a small uniform sample (or directly from a uniform
+   hash), applied per row by ``Bucketizer`` (JVM binary search).  The sample
+   decides only where buckets are cut; results are exact for any cut;
 2. per-bucket totals (``groups x buckets`` rows) and their running offsets;
 3. exact running sums inside each bucket only, plus the bucket offset.
 
 Every task is bounded by one bucket's rows, and the bucket count grows with
-the input (``rows_per_bucket``).
+the input (``rows_per_bucket``) without a cap.  The sample has a few values
+for each bucket, so it is a few millionths of the input.
 """
 
 from __future__ import annotations
@@ -20,43 +22,45 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .joins import broadcast_if_bounded
 
 ROWS_PER_BUCKET = 2_000_000
 MIN_BUCKETS = 16
-# sampled boundaries: the approx_percentile sketch grows with the bucket count
-MAX_BUCKETS = 1 << 16
-# hash buckets need no sketch; their offsets table is (groups x buckets) rows
-MAX_HASH_BUCKETS = 1 << 22
+# sampled values for each bucket, and the least sample
+SAMPLE_PER_BUCKET = 8
+MIN_SAMPLE = 8192
 
 
-def bucket_count(n: int, rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> int:
-    return int(min(max_buckets, max(MIN_BUCKETS, math.ceil(n / max(1, rows_per_bucket)))))
+def bucket_count(n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    return int(max(MIN_BUCKETS, math.ceil(n / max(1, rows_per_bucket))))
 
 
-def _split_aggs(cols: Sequence[str], buckets: int) -> list[Column]:
-    fracs = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10_000, 8 * buckets)
-    return [F.approx_percentile(F.col(c).cast("double"), fracs, accuracy).alias(f"_s{i}") for i, c in enumerate(cols)]
+def sampled_splits(df: DataFrame, cols: Sequence[str], buckets: int, n: int) -> list[list[float]]:
+    """Strictly increasing Bucketizer splits per column, from a uniform sample of the ``n`` rows.
 
-
-def _splits_of(row, n_cols: int) -> list[list[float]]:
+    The sample has about ``SAMPLE_PER_BUCKET`` rows for each bucket; only
+    they come to the driver.
+    """
+    want = max(MIN_SAMPLE, SAMPLE_PER_BUCKET * buckets)
+    rows = df.select(*[F.col(c).cast("double").alias(f"_s{i}") for i, c in enumerate(cols)])
+    if n > want:
+        rows = rows.sample(withReplacement=False, fraction=want / n, seed=17)
+    drawn = rows.toPandas()
     out = []
-    for i in range(n_cols):
-        inner = sorted({float(x) for x in (row[f"_s{i}"] or []) if x is not None and not math.isnan(x)})
-        out.append([-math.inf, *inner, math.inf])
+    for i in range(len(cols)):
+        x = drawn[f"_s{i}"].to_numpy(dtype=float)
+        x = x[~np.isnan(x)]
+        inner = np.unique(np.quantile(x, [k / buckets for k in range(1, buckets)], method="lower")) if len(x) else []
+        out.append([-math.inf, *[float(v) for v in inner if math.isfinite(v)], math.inf])
     return out
 
 
-def approx_splits(df: DataFrame, cols: Sequence[str], buckets: int) -> list[list[float]]:
-    """Strictly increasing Bucketizer splits per column, from one aggregation."""
-    return _splits_of(df.agg(*_split_aggs(cols, buckets)).first(), len(cols))
-
-
 def bucketize(df: DataFrame, cols: Sequence[str], out_cols: Sequence[str], splits: list[list[float]]) -> DataFrame:
     if len(cols) == 1:
         b = Bucketizer(splits=splits[0], inputCol=cols[0], outputCol=out_cols[0], handleInvalid="keep")
@@ -121,11 +125,8 @@ def exact_quantiles(
     vals = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     if not materialized:
         vals = materialize(vals)
-    # row count and the smallest bucket set in one pass; a second boundary
-    # pass only when the row count asks for more buckets
-    first = vals.agg(F.count(F.lit(1)).alias("_n"), *_split_aggs(cols, MIN_BUCKETS)).first()
-    buckets = bucket_count(first["_n"], rows_per_bucket)
-    splits = _splits_of(first, len(cols)) if buckets == MIN_BUCKETS else approx_splits(vals, cols, buckets)
+    n = vals.count()
+    splits = sampled_splits(vals, cols, bucket_count(n, rows_per_bucket), n)
     bcols = [f"_b{i}" for i in range(len(cols))]
     vb = bucketize(vals, cols, bcols, splits)
     entries = F.array(
@@ -157,8 +158,8 @@ def exact_quantiles(
         .withColumn("_k1", F.ceil("_pos"))
     )
     holds = lambda k: (F.col(k) >= F.col("_bo")) & (F.col(k) < F.col("_bo") + F.col("_bt"))
-    # at most two buckets per (group, prob): a table bounded by the number of
-    # targets, so broadcasting it is safe whatever the row count
+    # at most two buckets per (group, prob); sent to every task only after its
+    # size is checked, since the number of groups is the caller's
     needed = (
         offs.join(targets.select(*keys, "_k0", "_k1"), keys)
         .where(holds("_k0") | holds("_k1"))
@@ -166,7 +167,7 @@ def exact_quantiles(
         .distinct()
     )
     # distinct values (with multiplicity) of the needed buckets only
-    dist = long.join(F.broadcast(needed), [*keys, "_b"]).groupBy(*keys, "_b", "_bo", "_v").agg(
+    dist = long.join(broadcast_if_bounded(needed, 100_000), [*keys, "_b"]).groupBy(*keys, "_b", "_bo", "_v").agg(
         F.count(F.lit(1)).alias("_c")
     )
     w_in = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -25,6 +25,7 @@ from ..functions.derive import (
     rule_hit,
     validation_status,
     violation_reason,
+    z_direction,
     z_intensity,
     z_interpretation,
     z_score,
@@ -44,20 +45,20 @@ def unpivot_features(df: DataFrame, features: Sequence[str], keep: Sequence[str]
 
 
 def z_long(df: DataFrame, norms: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., feature, x, z, interpretation, intensity) for every row and feature."""
+    """(keep..., feature, x, z, interpretation, intensity, direction) for every row and feature."""
     long = unpivot_features(df, features, keep)
     z = z_score(F.col("x"), F.col("mean"), F.col("std"))
     return (
         long.join(F.broadcast(norms), "feature")
         .withColumn("z", z)
-        .select(*keep, "feature", "x", "z", z_interpretation(F.col("z")).alias("interpretation"), z_intensity(F.col("z")).alias("intensity"))
+        .select(*keep, "feature", "x", "z", z_interpretation(F.col("z")).alias("interpretation"), z_intensity(F.col("z")).alias("intensity"), z_direction(F.col("z")).alias("direction"))
     )
 
 
 def zscore_profile(df: DataFrame, norms: DataFrame, features: Sequence[str] = C.FEATURES) -> DataFrame:
     return (
         z_long(df, norms, features)
-        .groupBy("feature", "interpretation")
+        .groupBy("feature", "interpretation", "direction")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.max(F.abs(F.col("z"))).alias("max_abs_z"),

@@ -1,19 +1,26 @@
-"""Catalogue: fitted models (rows-only checks; recovery and cross-check tests).
+"""Catalogue: fitted models.
 
 Training data is prepared once per call: the cohort (a three-way join) is
 written as a reliable checkpoint in the shared folder named by
 ``spark.checkpoint.dir`` and then kept in memory, so iterative fits never
 recompute the join and a lost executor re-reads the checkpoint instead of
-the whole lineage.
+the whole lineage.  A query's result is written before it is returned, and
+all it kept in memory is released.
+
+Logistic regression has one optimum, so its query returns the score
+equations, whose right side SQL can state; the other models are held against
+recovery and cross-check tests.
 """
 
 from __future__ import annotations
 
+import functools
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,31 +31,62 @@ from ..operators import evaluate as E
 from ..operators import grouping as G
 from ..operators import models as M
 from ..operators.knn import knn
-from ..operators.prep import fold_column
-from ..session import ensure_checkpoint_dir
+from ..operators.prep import fold_column, one_hot_stages
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import tables as T
+from . import oracle_sql as S
 from .registry import query
 
 FEATURES = C.FEATURES
 LABEL_COL = "label"
 
 
-def prepared(spark, sf_dir: str, folds: bool = False) -> DataFrame:
-    """Keys, features, label, hash split (and fold): checkpointed, then cached."""
+class Kept(list):
+    """Frames kept in memory until the block ends."""
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.append(df)
+        return df
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *exc):
+        for df in self:
+            df.unpersist()
+
+
+def fitted(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir, keep)``; its result is written, then what it kept is released."""
+
+    def register(fn):
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            with Kept() as keep:
+                return materialize(fn(spark, sf_dir, keep))
+
+        return query(name, sql)(run)
+
+    return register
+
+
+def prepared(spark, sf_dir: str, keep: Kept, folds: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """Keys, features, label, hash split (and fold): checkpointed, then kept.
+
+    Spread over the cluster's cores, since iterative fits parallelise over
+    partitions.  The checkpoint fixes ``row_id``, so every later read sees
+    the same ids.
+    """
     ensure_checkpoint_dir(spark)
     c = T.cohort(spark, sf_dir)
+    cols = [*C.KEYS, *FEATURES, *more, C.LABEL, "h_split"]
+    c = c.select(*cols)
     if folds:
         c = fold_column(c, C.N_FOLDS)
-    cols = [*C.KEYS, *FEATURES, F.col(C.LABEL).cast("double").alias(LABEL_COL), "h_split"] + (["fold"] if folds else [])
-    data = c.select(*cols)
-    # iterative fits parallelise over partitions: never fewer than the cores
-    cores = spark.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < cores:
-        data = data.repartition(cores)
-    # a unique row id (no hash collisions at any size); the checkpoint fixes
-    # it, so every later read sees the same ids
-    data = data.withColumn("row_id", F.monotonically_increasing_id())
-    return data.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    data = c.withColumn(LABEL_COL, F.col(C.LABEL).cast("double")).drop(C.LABEL)
+    data = data.repartition(spark.sparkContext.defaultParallelism).withColumn("row_id", F.monotonically_increasing_id())
+    return keep(materialize(data))
 
 
 def split(data: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,12 +124,9 @@ def metrics_with_auc(scored: DataFrame, by: list[str]) -> DataFrame:
     return out if by else out.drop("_all")
 
 
-def knn_scores(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
-    """kNN probability = share of positives among the k nearest training rows."""
-    scaler = M.PopStandardScaler(inputCols=FEATURES, outputCols=[f"_z_{f}" for f in FEATURES]).fit(train)
-    to_vec = lambda df: scaler.transform(df).select(
-        F.col("row_id").alias("_key"), F.array(*[f"_z_{f}" for f in FEATURES]).alias("_vec"), LABEL_COL
-    )
+def knn_votes(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
+    """kNN probability = share of positives among the k nearest training rows (by ``features``)."""
+    to_vec = lambda df: df.select(F.col("row_id").alias("_key"), vector_to_array("features").alias("_vec"), LABEL_COL)
     tr, te = to_vec(train), to_vec(test)
     nn = knn(tr, k, id_col="_key", vec_col="_vec", queries=te)
     lab = tr.select(F.col("_key").alias("neighbour_id"), F.col(LABEL_COL).alias("_nl"))
@@ -99,6 +134,12 @@ def knn_scores(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     return te.join(prob.withColumnRenamed("query_id", "_key"), "_key").withColumn(M.PRED, predicted_label(F.col(M.SCORE)))
 
 
+def knn_scores(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
+    """``knn_votes`` on features standardised with the training rows."""
+    stages = Pipeline(stages=M.feature_stages(FEATURES)).fit(train)
+    return knn_votes(stages.transform(train), stages.transform(test), k)
+
+
 def _fit_and_score(name: str, train: DataFrame, test: DataFrame, n_train: int) -> DataFrame:
     if name == "knn":
         return knn_scores(train, test).select(F.lit(name).alias("model"), LABEL_COL, M.SCORE, M.PRED)
@@ -106,50 +147,140 @@ def _fit_and_score(name: str, train: DataFrame, test: DataFrame, n_train: int) -
     return scored.select(F.lit(name).alias("model"), LABEL_COL, M.SCORE, M.PRED)
 
 
-def _single(spark, sf_dir, name) -> DataFrame:
-    data = prepared(spark, sf_dir)
+def _single(spark, sf_dir, keep, name) -> DataFrame:
+    data = prepared(spark, sf_dir, keep)
     train, test = split(data)
     scored = _fit_and_score(name, train, test, train.count())
     return G.rounded(metrics_with_auc(scored, ["model"]))
 
 
-@query("logreg_fit")
-def logreg_fit(spark, sf_dir):
-    return _single(spark, sf_dir, "logistic_regression")
+def _score_equations_sql() -> str:
+    train = f"FROM cohort WHERE h_split % {C.TEST_MODULUS} <> 0"
+    rows = [f"SELECT {S.q(t)} AS term, count(*) AS n_train, round(avg(CAST(outcome AS DOUBLE)), 6) AS base_rate, CAST(0 AS DOUBLE) AS residual {train}" for t in ["intercept", *FEATURES]]
+    return S.with_cohort() + "\n" + "\nUNION ALL ".join(rows)
+
 
+@fitted("logreg_fit", _score_equations_sql())
+def logreg_fit(spark, sf_dir, keep):
+    """The optimum's score equations: at the fitted weights every residual is 0 (to 4 places).
+
+    For a feature the residual is the training mean of ``z * (p - y)`` plus
+    the penalty's ``w / n``; for the intercept the mean of ``p - y``.
+    """
+    data = prepared(spark, sf_dir, keep)
+    train, _ = split(data)
+    n = train.count()
+    model = classifier("logistic_regression", n).fit(train)
+    weights = M.last_stage(model).coefficients.toArray()
+    scored = M.positive_probability(model.transform(train))
+    z, miss = vector_to_array("features"), F.col(M.SCORE) - F.col(LABEL_COL)
+    wide = scored.agg(F.avg(LABEL_COL).alias("rate"), F.avg(miss).alias("r0"), *[F.avg(z[i] * miss).alias(f"r{i + 1}") for i in range(len(FEATURES))])
+    penalty = [0.0, *[float(w) / n for w in weights]]
+    rows = [F.struct(F.lit(t).alias("term"), F.lit(n).cast("long").alias("n_train"), F.col("rate").alias("base_rate"), (F.round(F.col(f"r{i}") + F.lit(penalty[i]), 4) + F.lit(0.0)).alias("residual")) for i, t in enumerate(["intercept", *FEATURES])]
+    return G.rounded(wide.select(F.inline(F.array(*rows))))
 
-@query("rf_fit")
-def rf_fit(spark, sf_dir):
-    return _single(spark, sf_dir, "random_forest")
 
+@fitted("rf_fit")
+def rf_fit(spark, sf_dir, keep):
+    return _single(spark, sf_dir, keep, "random_forest")
 
-@query("gbt_fit")
-def gbt_fit(spark, sf_dir):
-    return _single(spark, sf_dir, "gradient_boosting")
 
+@fitted("gbt_fit")
+def gbt_fit(spark, sf_dir, keep):
+    return _single(spark, sf_dir, keep, "gradient_boosting")
+
+
+@fitted("rbf_svm_fit")
+def rbf_svm_fit(spark, sf_dir, keep):
+    return _single(spark, sf_dir, keep, "rbf_svm")
+
+
+def ensemble(name: str, n_train: int) -> Pipeline:
+    """Soft voting over the members of one of the two ensembles.
+
+    ``plain``: logistic regression, 150 trees, boosting with its defaults
+    (100 rounds of 0.1, depth 3).  ``tuned``: 200 trees of depth 5 and two
+    boosted models of 200 rounds of 0.05, depth 4.
+    """
+    boosted = lambda rounds, step, depth, seed=42: M.boosted_trees(rounds, step, depth, seed, labelCol=LABEL_COL)
+    members = {
+        "plain": lambda: [("logistic_regression", head("logistic_regression", n_train)), ("random_forest", M.random_forest(150, labelCol=LABEL_COL)), ("gradient_boosting", boosted(100, 0.1, 3))],
+        "tuned": lambda: [("random_forest", M.random_forest(200, 5, labelCol=LABEL_COL)), ("gradient_boosting", boosted(200, 0.05, 4)), ("xgboost_like", boosted(200, 0.05, 4, 7))],
+    }[name]()
+    return Pipeline(stages=M.feature_stages(FEATURES) + [M.SoftVotingClassifier(members)])
 
-@query("rbf_svm_fit")
-def rbf_svm_fit(spark, sf_dir):
-    return _single(spark, sf_dir, "rbf_svm")
 
+def _vote(spark, sf_dir, keep, name) -> DataFrame:
+    train, test = split(prepared(spark, sf_dir, keep))
+    scored = ensemble(name, train.count()).fit(train).transform(test)
+    return G.rounded(metrics_with_auc(scored.withColumn("model", F.lit(f"soft_vote_{name}")), ["model"]))
 
-@query("soft_vote")
-def soft_vote(spark, sf_dir):
-    data = prepared(spark, sf_dir)
+
+@fitted("soft_vote")
+def soft_vote(spark, sf_dir, keep):
+    return _vote(spark, sf_dir, keep, "plain")
+
+
+@fitted("soft_vote_tuned")
+def soft_vote_tuned(spark, sf_dir, keep):
+    return _vote(spark, sf_dir, keep, "tuned")
+
+
+@fitted("soft_vote_cv")
+def soft_vote_cv(spark, sf_dir, keep):
+    """5-fold CV of the tuned ensemble: metrics by fold."""
+    data = prepared(spark, sf_dir, keep, folds=True)
+    out = None
+    for fold in range(C.N_FOLDS):
+        train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
+        scored = materialize(ensemble("tuned", train.count()).fit(train).transform(test).select("fold", LABEL_COL, M.SCORE, M.PRED))
+        out = scored if out is None else out.unionByName(scored)
+    return G.rounded(metrics_with_auc(out, ["fold"]))
+
+
+CHARTED = ["logistic_regression", "random_forest", "rbf_svm", "knn15"]
+
+
+def _charted(spark, sf_dir, keep) -> DataFrame:
+    """Hold-out scores of the charted models, one row per (model, test row)."""
+    train, test = split(prepared(spark, sf_dir, keep))
+    n, out = train.count(), None
+    for name in CHARTED:
+        scored = knn_scores(train, test, 15).select(F.lit(name).alias("model"), LABEL_COL, M.SCORE, M.PRED) if name == "knn15" else _fit_and_score(name, train, test, n)
+        scored = materialize(scored.withColumn(LABEL_COL, F.col(LABEL_COL).cast("int")))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+@fitted("fitted_roc")
+def fitted_roc(spark, sf_dir, keep):
+    pts = E.roc_curve(_charted(spark, sf_dir, keep), ["model"], LABEL_COL, M.SCORE).select("model", "threshold", "fpr", "tpr")
+    return G.rounded(pts, skip=("threshold",))
+
+
+@fitted("fitted_confusion")
+def fitted_confusion(spark, sf_dir, keep):
+    return E.confusion_matrix(_charted(spark, sf_dir, keep), ["model"], LABEL_COL, M.PRED)
+
+
+@fitted("grouped_logreg")
+def grouped_logreg(spark, sf_dir, keep):
+    """Hold-out metrics of LR on the standardised features and the one-hot country."""
+    data = prepared(spark, sf_dir, keep, more=(C.GROUP,))
     train, test = split(data)
-    n = train.count()
-    members = [(m, head(m, n)) for m in ("logistic_regression", "random_forest", "gradient_boosting")]
-    voter = Pipeline(stages=M.feature_stages(FEATURES) + [M.SoftVotingClassifier(members)])
-    scored = voter.fit(train).transform(test)
-    return G.rounded(metrics_with_auc(scored.withColumn("model", F.lit("soft_vote")), ["model"]))
+    scaler, assembler = M.feature_stages(FEATURES)
+    inputs = [*assembler.getInputCols(), "_country_vec"]
+    stages = [scaler, *one_hot_stages(C.GROUP, "_country_vec"), assembler.copy().setInputCols(inputs), head("logistic_regression", train.count())]
+    _, scored = M.fit_scored(Pipeline(stages=stages), train, test)
+    return G.rounded(metrics_with_auc(scored.withColumn("model", F.lit("grouped_logreg")), ["model"]))
 
 
 BAKEOFF = ["logistic_regression", "random_forest", "rbf_svm", "knn", "xgboost_like"]
 
 
-@query("model_bakeoff")
-def model_bakeoff(spark, sf_dir):
-    data = prepared(spark, sf_dir)
+@fitted("model_bakeoff")
+def model_bakeoff(spark, sf_dir, keep):
+    data = prepared(spark, sf_dir, keep)
     train, test = split(data)
     n = train.count()
     with ThreadPoolExecutor(max_workers=len(BAKEOFF)) as pool:
@@ -161,10 +292,10 @@ def model_bakeoff(spark, sf_dir):
     return G.rounded(metrics_with_auc(union, ["model"])).join(F.broadcast(order), "model")
 
 
-@query("cv_scores")
-def cv_scores(spark, sf_dir):
+@fitted("cv_scores")
+def cv_scores(spark, sf_dir, keep):
     """5-fold CV of the LR pipeline on the stratified fold column, metrics per fold."""
-    data = prepared(spark, sf_dir, folds=True)
+    data = prepared(spark, sf_dir, keep, folds=True)
     n = data.count()
     est = classifier("logistic_regression", int(n * (C.N_FOLDS - 1) / C.N_FOLDS))
     cv = CrossValidator(
@@ -190,28 +321,40 @@ def cv_scores(spark, sf_dir):
 COMPARED = ["logistic_regression", "random_forest", "rbf_svm", "xgboost_like", "knn"]
 
 
-@query("model_comparison")
-def model_comparison(spark, sf_dir):
-    """Per-model mean and std (sample and population) of fold metrics."""
-    data = prepared(spark, sf_dir, folds=True)
-    sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
-    total = sum(sizes.values())
+def _fold_scores(data: DataFrame, fold: int) -> DataFrame:
+    """Held-out scores of the compared models on one fold.
 
-    def run(task):
-        fold, name = task
-        train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        scored = _fit_and_score(name, train, test, total - sizes.get(fold, 0))
-        return scored.withColumn("fold", F.lit(fold)).checkpoint(eager=True)
-
-    # independent fits: submitted concurrently so their jobs share the cluster
-    # (pool width follows the cluster's parallelism: 4 on local[8])
-    tasks = [(fold, name) for fold in range(C.N_FOLDS) for name in COMPARED]
-    width = max(2, min(len(tasks), spark.sparkContext.defaultParallelism // 2))
-    with ThreadPoolExecutor(max_workers=width) as pool:
-        rows = list(pool.map(run, tasks))
-    union = rows[0]
-    for r in rows[1:]:
-        union = union.unionByName(r)
+    The standardised vectors are made once and shared by the models, whose
+    fits run side by side so that their jobs fill the cluster; they are
+    released with the fold.
+    """
+    with Kept() as keep:
+        train = data.where(F.col("fold") != fold)
+        stages = Pipeline(stages=M.feature_stages(FEATURES)).fit(train)
+        ready = keep(stages.transform(data).select("row_id", "features", LABEL_COL, "fold"))
+        train, test = ready.where(F.col("fold") != fold), ready.where(F.col("fold") == fold)
+        n = train.count()
+
+        def one(name):
+            if name == "knn":
+                scored = knn_votes(train, test, 5)
+            else:
+                _, scored = M.fit_scored(head(name, n), train, test)
+            return materialize(scored.select(F.lit(name).alias("model"), LABEL_COL, M.SCORE, M.PRED, F.lit(fold).alias("fold")))
+
+        with ThreadPoolExecutor(max_workers=len(COMPARED)) as pool:
+            first, *rest = pool.map(one, COMPARED)
+    return functools.reduce(DataFrame.unionByName, rest, first)
+
+
+@fitted("model_comparison")
+def model_comparison(spark, sf_dir, keep):
+    """Per-model mean and std (sample and population) of fold metrics."""
+    data = prepared(spark, sf_dir, keep, folds=True)
+    union = None
+    for fold in range(C.N_FOLDS):
+        rows = _fold_scores(data, fold)
+        union = rows if union is None else union.unionByName(rows)
     per_fold = metrics_with_auc(union, ["model", "fold"])
     aggs = []
     for m in [*METRIC_COLS, "auc"]:
@@ -219,10 +362,10 @@ def model_comparison(spark, sf_dir):
     return G.rounded(per_fold.groupBy("model").agg(*aggs))
 
 
-@query("scaling_ablation")
-def scaling_ablation(spark, sf_dir):
+@fitted("scaling_ablation")
+def scaling_ablation(spark, sf_dir, keep):
     """LR AUC on raw against standardised features (no internal standardisation)."""
-    data = prepared(spark, sf_dir)
+    data = prepared(spark, sf_dir, keep)
     train, test = split(data)
     n = train.count()
     out = []
@@ -236,6 +379,8 @@ def scaling_ablation(spark, sf_dir):
 def importance_rows(name: str, model) -> list[tuple[str, str, float]]:
     """Importance with the usual fallback chain: tree importances, |coefficients|, zeros."""
     last = M.last_stage(model)
+    if isinstance(last, M.SoftVotingModel):  # a voting model speaks through its first member
+        last = M.last_stage(last.fitted[0][1])
     if hasattr(last, "featureImportances"):
         raw = list(last.featureImportances.toArray())
     elif hasattr(last, "coefficients"):
@@ -245,33 +390,35 @@ def importance_rows(name: str, model) -> list[tuple[str, str, float]]:
     return [(name, f, float(v)) for f, v in zip(FEATURES, raw)]
 
 
-@query("feature_importance")
-def feature_importance(spark, sf_dir):
-    data = prepared(spark, sf_dir)
+@fitted("feature_importance")
+def feature_importance(spark, sf_dir, keep):
+    data = prepared(spark, sf_dir, keep)
     train, _ = split(data)
     n = train.count()
-    names = ("logistic_regression", "random_forest", "gradient_boosting")
+    names = ("logistic_regression", "random_forest", "gradient_boosting", "soft_vote_tuned")
+    estimator = lambda name: ensemble("tuned", n) if name == "soft_vote_tuned" else classifier(name, n)
     with ThreadPoolExecutor(max_workers=len(names)) as pool:
-        fitted = list(pool.map(lambda name: classifier(name, n).fit(train), names))
-    rows = [r for name, model in zip(names, fitted) for r in importance_rows(name, model)]
+        models = list(pool.map(lambda name: estimator(name).fit(train), names))
+    rows = [r for name, model in zip(names, models) for r in importance_rows(name, model)]
     long = spark.createDataFrame(rows, "model string, feature string, raw double")
-    return G.rounded(E.normalise(long, ["model"], "raw", "importance").select("model", "feature", "importance"))
+    out = E.normalise(long, ["model"], "raw", "importance").select("model", "feature", "importance")
+    return G.rounded(out).orderBy("model", F.desc("importance"), "feature")
 
 
-@query("coef_table")
-def coef_table(spark, sf_dir):
+@fitted("coef_table")
+def coef_table(spark, sf_dir, keep):
     """LR coefficients on standardised features (plus the intercept), largest first."""
-    data = prepared(spark, sf_dir)
+    data = prepared(spark, sf_dir, keep)
     train, _ = split(data)
     lr = M.last_stage(classifier("logistic_regression", train.count()).fit(train))
     rows = [("intercept", float(lr.intercept))] + [(f, float(v)) for f, v in zip(FEATURES, lr.coefficients.toArray())]
-    return G.rounded(spark.createDataFrame(rows, "term string, coefficient double"))
+    return G.rounded(spark.createDataFrame(rows, "term string, coefficient double")).orderBy(F.desc("coefficient"), "term")
 
 
-@query("eval_by_split")
-def eval_by_split(spark, sf_dir):
+@fitted("eval_by_split")
+def eval_by_split(spark, sf_dir, keep):
     """Accuracy and AUC of the LR pipeline on train, test and all rows."""
-    data = prepared(spark, sf_dir)
+    data = prepared(spark, sf_dir, keep)
     train, _ = split(data)
     model = classifier("logistic_regression", train.count()).fit(train)
     scored = M.positive_probability(model.transform(data)).withColumn(

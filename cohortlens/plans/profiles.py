@@ -112,7 +112,7 @@ def standardize(spark, sf_dir):
     "WHERE region <> (SELECT min(region) FROM cohort) GROUP BY region",
 )
 def one_hot(spark, sf_dir):
-    return ST.one_hot_counts(T.cohort(spark, sf_dir), "region", drop_first=True)
+    return ST.encoded_counts(T.cohort(spark, sf_dir).select("region"), "region")
 
 
 def _boxplot_sql() -> str:

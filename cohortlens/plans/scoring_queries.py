@@ -124,7 +124,8 @@ def range_validation(spark, sf_dir):
 
 def _zscore_sql() -> str:
     norms = " UNION ALL ".join(
-        f"SELECT {S.q(f)} AS feature, {S.d(m)} AS mean, {S.d(s)} AS std" for f, m, s in C.NORMS
+        f"SELECT {S.q(f)} AS feature, {S.d(int(m) if f in C.TRUNCATED_NORMS else m)} AS mean, {S.d(int(s) if f in C.TRUNCATED_NORMS else s)} AS std"
+        for f, m, s in C.NORMS
     )
     unpiv = " UNION ALL ".join(f"SELECT {S.q(f)} AS feature, CAST({f} AS DOUBLE) AS x FROM cohort" for f in C.FEATURES)
     z = "CAST(round_even(CAST((l.x - nt.mean) / nt.std AS DECIMAL(18,8)), 2) AS DOUBLE)"
@@ -132,21 +133,22 @@ def _zscore_sql() -> str:
         f"CASE WHEN z >= {S.d(1)} THEN {S.q(C.Z_HIGH)} WHEN z >= {S.d(0.5)} THEN {S.q(C.Z_SLIGHT_HIGH)} "
         f"WHEN z <= {S.d(-1)} THEN {S.q(C.Z_LOW)} WHEN z <= {S.d(-0.5)} THEN {S.q(C.Z_SLIGHT_LOW)} ELSE {S.q(C.Z_NORMAL)} END"
     )
+    direction = "CASE WHEN z > 0 THEN 'above' WHEN z < 0 THEN 'below' ELSE 'at' END"
     return (
         S.with_cohort(
             f"nt AS ({norms})",
             f"l AS ({unpiv})",
             f"zz AS (SELECT l.feature, {z} AS z FROM l JOIN nt ON l.feature = nt.feature)",
         )
-        + f"\nSELECT feature, {interp} AS interpretation, count(*) AS n, round(max(abs(z)), 6) AS max_abs_z, "
-        f"round(avg(least(abs(z) / {S.d(C.Z_INTENSITY_SPAN)}, {S.d(1)})), 6) AS avg_intensity FROM zz GROUP BY 1, 2"
+        + f"\nSELECT feature, {interp} AS interpretation, {direction} AS direction, count(*) AS n, round(max(abs(z)), 6) AS max_abs_z, "
+        f"round(avg(least(abs(z) / {S.d(C.Z_INTENSITY_SPAN)}, {S.d(1)})), 6) AS avg_intensity FROM zz GROUP BY 1, 2, 3"
     )
 
 
 @query("zscore_profile", _zscore_sql())
 def zscore_profile(spark, sf_dir):
     c = T.cohort(spark, sf_dir)
-    return G.rounded(SC.zscore_profile(c, SC.norm_table(spark)))
+    return G.rounded(SC.zscore_profile(c, SC.norm_table(spark, truncate=C.TRUNCATED_NORMS)))
 
 
 @query(
@@ -157,10 +159,10 @@ SELECT {S.KEY_LIST}, {S.FEATURE_LIST}, round(p * {PCT}, 4) AS probability_pct,
        {_prediction_sql('p')} AS prediction,
        CASE WHEN p * {PCT} >= {S.d(C.TIER_HIGH_PCT)} THEN {S.q(C.MESSAGE_HIGH)}
             WHEN p * {PCT} >= {S.d(C.TIER_MODERATE_PCT)} THEN {S.q(C.MESSAGE_MODERATE)} ELSE {S.q(C.MESSAGE_LOW)} END AS message
-FROM (SELECT c.*, {S.score_sql('full')} AS p FROM cohort c WHERE h_split % {C.TEST_MODULUS} = 0)""",
+FROM (SELECT c.*, {S.score_sql('full')} AS p FROM cohort c)""",
 )
 def prediction_report(spark, sf_dir):
-    c = T.cohort(spark, sf_dir).where(is_test("h_split")).withColumn("p", fixed_score("full"))
+    c = T.cohort(spark, sf_dir).withColumn("p", fixed_score("full"))
     return SC.report_rows(c, "p", [*C.KEYS, *C.FEATURES])
 
 

@@ -13,12 +13,12 @@ _P = f"round({S.d(1.0)} / ({S.d(1.0)} + exp(-((CAST(value AS DOUBLE) - {S.d(C.EV
 @query(
     "stream_score_parity",
     f"""
-SELECT event_type,
-       CASE WHEN p * {S.d(100.0)} >= {S.d(C.TIER_HIGH_PCT)} THEN {S.q(C.TIER_HIGH)}
+SELECT event_type, CASE WHEN value IS NULL OR value < {S.d(0)} OR value > {S.d(100)} THEN {S.q(C.REJECTED)} ELSE {S.q(C.VALID)} END AS status,
+       CASE WHEN p IS NULL THEN NULL WHEN p * {S.d(100.0)} >= {S.d(C.TIER_HIGH_PCT)} THEN {S.q(C.TIER_HIGH)}
             WHEN p * {S.d(100.0)} >= {S.d(C.TIER_MODERATE_PCT)} THEN {S.q(C.TIER_MODERATE)} ELSE {S.q(C.TIER_LOW)} END AS tier,
        count(*) AS n
-FROM (SELECT event_type, {_P} AS p FROM events WHERE value IS NOT NULL) GROUP BY 1, 2""",
+FROM (SELECT event_type, value, {_P} AS p FROM events) GROUP BY 1, 2, 3""",
 )
 def stream_score_parity(spark, sf_dir):
-    sink = stream_to_table(spark, sf_dir, pattern="events.parquet")
+    sink = stream_to_table(spark, f"{sf_dir.rstrip('/')}/events.parquet")
     return tier_counts(spark.read.parquet(sink))

@@ -32,7 +32,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared file system path and is used
-    as is.  Only when it is unset (local tests) do we pick a scratch folder.
+    as is.  Only when it is unset and the master is local do we pick a
+    scratch folder; a cluster without a shared folder is an error, since
+    executors could not read what another machine wrote.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     path = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -11,6 +11,7 @@ stops.  Counts are then an ordinary batch aggregation over the sink.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,40 +49,65 @@ def event_score(value: str = "value"):
 def score_events(events: DataFrame) -> DataFrame:
     """Stateless scoring of event rows (works on batch and streaming frames).
 
-    Every row is scored; rows outside ``EVENT_BOUNDS`` are flagged with
-    ``status``/``reason`` rather than dropped.
+    Every row is kept; rows outside ``EVENT_BOUNDS`` or without a value are
+    flagged with ``status``/``reason``.  A row without a value has no score,
+    prediction or tier.
     """
-    scored = events.where(F.col("value").isNotNull()).select(
-        "event_id", "event_type", "value", event_score().alias("p")
-    )
+    scored = events.select("event_id", "event_type", "value", event_score().alias("p"))
     reason = violation_reason(C.EVENT_BOUNDS)
     return scored.select(
         "*",
-        prediction_text(F.col("p")).alias("prediction"),
-        risk_tier(F.col("p")).alias("tier"),
+        F.when(F.col("p").isNotNull(), prediction_text(F.col("p"))).alias("prediction"),
+        F.when(F.col("p").isNotNull(), risk_tier(F.col("p"))).alias("tier"),
         alert_names([("high_value", "value", ">", 95.0)]).alias("alerts"),
         validation_status(reason).alias("status"),
         F.coalesce(reason, F.lit(C.NO_REASON)).alias("reason"),
     )
 
 
-def stream_to_table(spark: SparkSession, source_dir: str, pattern: str = "*.parquet", name: str = "event_scores") -> str:
-    """Drain the files of ``source_dir`` matching ``pattern`` through the
-    scoring stream into a parquet table.
+def score_with(model, features: list[str]):
+    """A scoring function for a stream that applies a saved or fitted ``PipelineModel``.
+
+    The model is a chain of row-wise transformers, so it runs on streaming
+    frames as it does on batches; rows with a missing input are kept without
+    a score.
+    """
+
+    def run(events: DataFrame) -> DataFrame:
+        missing = F.lit(False)
+        for f in features:
+            missing = missing | F.col(f).isNull()
+        filled = events.withColumn("_missing", missing).fillna(0, subset=features)
+        scored = model.transform(filled)
+        p = F.when(~F.col("_missing"), vector_to_array(F.col("probability"))[1])
+        scored = scored.withColumn("p", p)
+        return scored.select(
+            *[c for c in events.columns if c not in features],
+            *[F.when(~F.col("_missing"), F.col(f)).alias(f) for f in features],
+            "p",
+            F.when(F.col("p").isNotNull(), prediction_text(F.col("p"))).alias("prediction"),
+            F.when(F.col("p").isNotNull(), risk_tier(F.col("p"))).alias("tier"),
+            F.when(F.col("_missing"), F.lit(C.REJECTED)).otherwise(F.lit(C.VALID)).alias("status"),
+        )
+
+    return run
+
+
+def stream_to_table(spark: SparkSession, source: str, name: str = "event_scores", schema=EVENT_SCHEMA, score=score_events) -> str:
+    """Drain the Parquet table at ``source`` (a folder of files, or one file)
+    through the scoring stream into a parquet table.
 
     Returns the table path (a fresh folder below the shared checkpoint dir).
     """
     run = unique_suffix()
     sink = shared_path(spark, "streams", f"{name}-{run}", "data")
     checkpoint = shared_path(spark, "streams", f"{name}-{run}", "checkpoint")
-    source = (
-        spark.readStream.schema(EVENT_SCHEMA)
-        .option("maxFilesPerTrigger", 64)
-        .option("pathGlobFilter", pattern)
-        .parquet(source_dir)
-    )
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
+    if not _is_folder(spark, source):  # a file source reads folders: pick the one file in its folder
+        source, _, file = source.rstrip("/").rpartition("/")
+        reader = reader.option("pathGlobFilter", file)
     q = (
-        score_events(source)
+        score(reader.parquet(source))
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
@@ -94,5 +120,12 @@ def stream_to_table(spark: SparkSession, source_dir: str, pattern: str = "*.parq
     return sink
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the path is a folder, asked of the file system that holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    return status.isDirectory()
+
+
 def tier_counts(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("event_type", "tier").agg(F.count(F.lit(1)).alias("n"))
+    return scored.groupBy("event_type", "status", "tier").agg(F.count(F.lit(1)).alias("n"))

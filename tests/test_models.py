@@ -79,10 +79,42 @@ def test_number_formats(spark):
 
 
 def test_stream_equals_batch(spark):
-    sink = stream_to_table(spark, SF_SMALL, pattern="events.parquet")
-    streamed = {(r.event_type, r.tier): r.n for r in tier_counts(spark.read.parquet(sink)).collect()}
-    batch = {(r.event_type, r.tier): r.n for r in tier_counts(score_events(spark.read.parquet(f"{SF_SMALL}/events.parquet"))).collect()}
-    assert streamed == batch and sum(streamed.values()) > 0
+    sink = stream_to_table(spark, f"{SF_SMALL}/events.parquet")
+    counts = lambda df: {(r.event_type, r.status, r.tier): r.n for r in tier_counts(df).collect()}
+    streamed = counts(spark.read.parquet(sink))
+    batch = counts(score_events(spark.read.parquet(f"{SF_SMALL}/events.parquet")))
+    assert streamed == batch and sum(streamed.values()) == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+
+
+def test_stream_reads_a_folder_and_keeps_rows_without_a_value(spark, tmp_path):
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet").limit(300)
+    holes = events.withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    holes.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    out = spark.read.parquet(stream_to_table(spark, str(tmp_path / "events.parquet")))
+    assert out.count() == 300
+    empty = out.where("value IS NULL").collect()
+    assert empty and all(r.status == "rejected" and r.p is None and r.tier is None for r in empty)
+
+
+def test_stream_applies_a_saved_model(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from cohortlens.streaming.score import score_with
+
+    rows = [(i, float(i % 50), None if i % 10 == 0 else float(i % 7), float(i % 50 > 25)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label double")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), LogisticRegression()])
+    pipe.fit(df.na.drop()).write().overwrite().save(str(tmp_path / "model"))
+    model = PipelineModel.load(str(tmp_path / "model"))
+    records = df.drop("label")
+    records.repartition(3).write.parquet(str(tmp_path / "records"))
+    score = score_with(model, ["a", "b"])
+    out = spark.read.parquet(stream_to_table(spark, str(tmp_path / "records"), "fitted", records.schema, score))
+    key = lambda df: sorted((r.id, r.status, r.tier, None if r.p is None else round(r.p, 9)) for r in df.collect())
+    assert key(out) == key(score(records)) and out.count() == 400
+    assert out.where("status = 'rejected'").count() == 40 and out.where("b IS NULL AND p IS NOT NULL").count() == 0
 
 
 def test_chart_data_tables_written(spark, tmp_path):

@@ -103,7 +103,7 @@ def test_running_totals_equal_single_window(spark):
     rng = random.Random(3)
     rows = [(i % 3, rng.random(), rng.randint(0, 5)) for i in range(2000)]
     df = spark.createDataFrame(rows, "g int, x double, w int")
-    splits = O.approx_splits(df, ["x"], 20)
+    splits = O.sampled_splits(df, ["x"], 20, df.count())
     staged = O.bucketize(df, ["x"], ["b"], splits)
     got = O.running_totals(staged, ["g"], "b", [F.col("x")], ["w"]).collect()
     for g in range(3):
@@ -332,6 +332,70 @@ def test_one_hot_counts_equal_indicator_sums(spark):
     assert sums == counts == {"r_b": 1, "r_c": 2}
 
 
+def test_encoder_counts_equal_group_counts(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), ("c",), (None,)], "r string")
+    assert {r.level: r.n for r in ST.encoded_counts(df, "r").collect()} == {"r_b": 1, "r_c": 2}
+
+
+def _brute_knn(ids, arr, k):
+    out = {}
+    for qi, q in enumerate(ids):
+        d = ((arr - arr[qi]) ** 2).sum(axis=1)
+        out[int(q)] = [int(ids[j]) for j in sorted(range(len(ids)), key=lambda j: (round(d[j], 9), ids[j])) if j != qi][:k]
+    return out
+
+
+@pytest.mark.parametrize(("n", "distinct"), [(1, 1), (3, 3), (100, 100), (256, 256), (900, 20), (2000, 1921)])
+def test_knn_on_small_and_duplicated_tables(spark, n, distinct):
+    rng = np.random.RandomState(n)
+    base = rng.normal(0, 1, size=(distinct, 3))
+    arr = base[np.concatenate([np.arange(distinct), np.zeros(n - distinct, dtype=int) if distinct > 1000 else rng.randint(0, distinct, n - distinct)])]
+    ids = rng.permutation(n * 3)[:n]
+    df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, arr)], "vec_id long, embedding array<double>")
+    rows = knn(df, 5).collect()
+    assert len(rows) == n * min(5, n - 1)
+    got = {}
+    for r in sorted(rows, key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append(r.neighbour_id)
+    want = _brute_knn(ids, arr, 5)
+    assert all(got.get(q, []) == w for q, w in want.items())
+
+
+def test_knn_refuses_mixed_lengths_and_leaves_out_null_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        knn(df, 1)
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.neighbour_id) for r in knn(df, 2).collect()} == {(1, 3), (3, 1)}
+
+
+def test_broadcast_check_sees_a_grown_table(spark, tmp_path):
+    from cohortlens.operators.joins import is_bounded
+
+    path = str(tmp_path / "t")
+    spark.range(10).write.parquet(path)
+    assert is_bounded(spark.read.parquet(path), 100)
+    spark.range(1000).write.mode("overwrite").parquet(path)
+    assert not is_bounded(spark.read.parquet(path), 100)
+
+
+def test_correlation_with_missing_values_is_pairwise(spark):
+    rng = np.random.RandomState(5)
+    a = rng.normal(1000, 1, 400)
+    rows = [(float(x), None if i % 7 == 0 else float(x + rng.normal()), 3.0) for i, x in enumerate(a)]
+    got = {(r.feature_i, r.feature_j): r["corr"] for r in ST.corr_matrix(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
+    x, y = zip(*[(u, v) for u, v, _ in rows if v is not None])
+    assert abs(got[("a", "b")] - np.corrcoef(x, y)[0, 1]) < 1e-9 and got[("c", "c")] is None and got[("a", "c")] is None
+    assert abs(got[("b", "b")] - 1) < 1e-12
+
+
+def test_wide_values_survive_rounding(spark):
+    from cohortlens.functions.derive import stable_round
+
+    r = spark.createDataFrame([(1e35, 0.1234565, float("inf"))], "a double, b double, c double").select(*[stable_round(F.col(c)).alias(c) for c in "abc"]).first()
+    assert r.a == 1e35 and r.b == 0.123457 and r.c is None
+
+
 def test_knn_with_hot_duplicate_vectors_matches_brute_force(spark):
     rng = np.random.RandomState(3)
     base = rng.normal(0, 3, size=(40, 4))
