@@ -217,10 +217,8 @@ def word_counts(table: DataFrame) -> DataFrame:
 
 def _summed(model: DataFrame, width: int, vocabulary: int) -> Totals:
     size = width * (1 + CHAINS) + 2 * CHAINS
-    rows = model.select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # ``size`` rows
-    flat = np.zeros(size)
-    for at, n in rows:
-        flat[at] = n
+    row = model.agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(size)]).first()
+    flat = np.array(row, dtype=np.float64)
     chains = flat[width:].reshape(CHAINS, width + 2)
     return Totals(flat[:width], np.ascontiguousarray(chains[:, :width].T), np.ascontiguousarray(chains[:, width:].T), vocabulary)
 
