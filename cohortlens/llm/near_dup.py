@@ -8,16 +8,19 @@ in many nodes.
 
 First, in every node the classes that look alike are compared with the
 node's pivot (two orders of pivots, so a class meets two of them); confirmed
-pairs are links and their components labels.  A node whose classes all carry
-one label needs nothing more, however large it is.  The others are joined:
-small nodes exhaustively between differing labels, large nodes by branching
-on further minwise positions, chosen from the node's own path, until they are
-small or, at the last depth, exhaustively by a join that skew splitting
-spreads.  Comparisons use a sketch of the minwise values with a wide margin;
-every link is confirmed on the full sets.
-
-Eight top values and a margin of five standard deviations leave a pair at
-the threshold unseen with a chance of about three in a million.
+pairs are links and their components labels.  Large nodes that still hold
+several labels are compared with a few more pivots, round after round, which
+ties the members of a large group together without comparing them all.  A
+node whose classes all carry one label needs nothing more, however large it
+is.  What then remains is joined between differing labels: small nodes
+exhaustively, large nodes by branching on further minwise positions, chosen
+from the node's own path, until they are small or, at the last depth,
+exhaustively by a join that skew splitting spreads.  Comparisons use a sketch
+of the minwise values with a wide margin; every link is confirmed on the full
+sets.
+
+Eight top values and a margin of four and a half standard deviations leave a
+pair at the threshold unseen with a chance of about six in a million.
 
 Rows: null, empty and blank texts have an empty set and link with nothing;
 a text of fewer words than a shingle is one shingle; repeated rows are in one
@@ -30,7 +33,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import WordHashes, mix64, text_chunks, utf8, with_fields, written
@@ -38,9 +41,11 @@ from cohortlens.llm.graph import components
 
 SHINGLE, PERCENT = 4, 80
 #: Minwise positions kept; positions opened at the top (trees x values each) and at each deeper node.
-POSITIONS, TREES, VALUES, BRANCH = 64, 4, 2, 4
+POSITIONS, TREES, VALUES, BRANCH = 128, 4, 2, 2
 #: Nodes of up to so many classes are joined exhaustively; depth of the trees below the top.
-SMALL, DEPTH = 64, 3
+SMALL, DEPTH = 64, 2
+#: Rounds of further pivots for large nodes, and pivots of a node in a round.
+ROUNDS, PIVOTS = 3, 12
 #: Confirmed against one pivot's text in a group; classes whose keys are sent to every task, at most.
 GROUP, SEND_AT_MOST = 32, 1_000_000
 SKETCH = [f"s{i}" for i in range(POSITIONS // 16)]
@@ -90,9 +95,9 @@ def sketches(values: np.ndarray) -> np.ndarray:
 
 
 def margin(percent: int) -> int:
-    """Differing sketch positions that a pair at the threshold exceeds by five standard deviations."""
+    """Differing sketch positions that a pair at the threshold exceeds by four and a half standard deviations."""
     differ = (1 - percent / 100) * 15 / 16
-    return int(np.ceil(POSITIONS * differ + 5 * np.sqrt(POSITIONS * differ * (1 - differ))))
+    return int(np.ceil(POSITIONS * differ + 4.5 * np.sqrt(POSITIONS * differ * (1 - differ))))
 
 
 def text_key() -> Column:
@@ -160,6 +165,36 @@ def stars(classes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("p.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
+def more_stars(classes: DataFrame, turn: int, percent: int) -> DataFrame | None:
+    """Pairs (a: pivot, b) with different labels in large nodes; None when no large node is mixed.
+
+    A round's pivots are the same classes in all nodes that hold them, so a
+    group that meets in many nodes is compared with few.  Spark limits the
+    groups of a rank filter before it shuffles.
+    """
+    rows = top_nodes(classes, "label").drop("side")
+    label = F.xxhash64("label")
+    mixed = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(label).alias("lo"), F.max(label).alias("hi"))
+    mixed = written(mixed.where((F.col("size") > SMALL) & (F.col("lo") != F.col("hi"))).select("node"), "large-nodes")
+    if not mixed.take(1):
+        return None
+    rows = written(rows.join(mixed, "node"), "large-rows")
+    order = Window.partitionBy("node").orderBy("rank", "class")
+    ranked = rows.withColumn("rank", F.xxhash64("class", F.lit(turn))).withColumn("place", F.row_number().over(order))
+    pivots = written(ranked.where(F.col("place") <= PIVOTS).drop("rank", "place"), "more-pivots")
+    met = rows.alias("y").join(pivots.alias("p"), "node").where(f"p.label != y.label AND {_alike('p', 'y', percent)}")
+    return met.select(F.col("p.class").alias("a"), F.col("y.class").alias("b")).distinct()
+
+
+def relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (with ``label``) after the links (a, b) have joined labels."""
+    named = classes.select("class", "label")
+    ends = links.join(named.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b")
+    roots = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    columns = [F.coalesce("root", "label").alias("label") if c == "label" else F.col(c) for c in classes.columns]
+    return written(classes.join(roots, classes["label"] == roots["node"], "left").select(*columns), "labelled")
+
+
 def unresolved(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes with different labels that share a node and look alike, by the recursion below the top."""
     rows, out = top_nodes(classes, "label", "minwise").drop("side"), None
@@ -224,16 +259,13 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
         F.min("doc_id").alias("least_id"), F.min(F.struct("text_key", "doc_id")).alias("at"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise"), *(F.first(s).alias(s) for s in SKETCH)
     )
     classes = written(classes, "classes")
-    links = confirm(stars(classes, percent), classes, docs, k, percent)
-    roots = components(links)
-    label = F.coalesce("root", "class").alias("label")
-    labelled = written(classes.join(roots, classes["class"] == roots["node"], "left").select(classes["*"], label), "labelled")
-    more = confirm(unresolved(labelled, percent), classes, docs, k, percent)
-    if more.take(1):
-        named = labelled.select("class", "label")
-        ends = more.join(named.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b")
-        again = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        labelled = written(labelled.join(again, labelled["label"] == again["node"], "left").select("class", "least_id", F.coalesce("root", "label").alias("label")), "labelled")
+    labelled = relabel(classes.withColumn("label", F.col("class")), confirm(stars(classes, percent), classes, docs, k, percent))
+    for turn in range(ROUNDS):
+        pairs = more_stars(labelled, turn + 2, percent)
+        if pairs is None:
+            break
+        labelled = relabel(labelled, confirm(pairs, classes, docs, k, percent))
+    labelled = relabel(labelled, confirm(unresolved(labelled, percent), classes, docs, k, percent))
     names = written(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "component-names")
     named = written(labelled.select("class", "label").join(names, "label").select("class", "component_id"), "class-names")
     out = base.select("doc_id", "text_key", "n_shingles", "class").join(named, "class", "left")
