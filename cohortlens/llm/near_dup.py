@@ -12,15 +12,17 @@ pairs are links and their components labels.  Large nodes that still hold
 several labels are compared with a few more pivots, round after round, which
 ties the members of a large group together without comparing them all.  A
 node whose classes all carry one label needs nothing more, however large it
-is.  What then remains is joined between differing labels: small nodes
-exhaustively, large nodes by branching on further minwise positions, chosen
-from the node's own path, until they are small or, at the last depth,
-exhaustively by a join that skew splitting spreads.  Comparisons use a sketch
-of the minwise values with a wide margin; every link is confirmed on the full
-sets.
-
-Eight top values and a margin of four and a half standard deviations leave a
-pair at the threshold unseen with a chance of about six in a million.
+is.  What then remains is joined between differing labels: nodes of up to
+``WHOLE`` classes exhaustively, larger ones by branching on further minwise
+positions, chosen from the node's own path, until they are small enough or,
+at the last depth, exhaustively by a join that skew splitting spreads.  A
+pair is looked at in the first exhaustive top node it shares and in no other.
+Comparisons use a sketch of the minwise values with a wide margin, and between
+members of large nodes a second, finer one; every link is confirmed on the
+full sets.
+
+Eight top values and margins of four and a half standard deviations leave a
+pair at the threshold unseen with a chance of about one in a hundred thousand.
 
 Rows: null, empty and blank texts have an empty set and link with nothing;
 a text of fewer words than a shingle is one shingle; repeated rows are in one
@@ -42,8 +44,11 @@ from cohortlens.llm.graph import components
 SHINGLE, PERCENT = 4, 80
 #: Minwise positions kept; positions opened at the top (trees x values each) and at each deeper node.
 POSITIONS, TREES, VALUES, BRANCH = 128, 4, 2, 2
-#: Nodes of up to so many classes are joined exhaustively; depth of the trees below the top.
-SMALL, DEPTH = 64, 2
+#: Nodes of more classes than SMALL get further pivots and fine sketches; nodes of up to WHOLE are joined
+#: exhaustively; depth of the trees below the top.
+SMALL, WHOLE, DEPTH = 64, 8192, 2
+#: Minwise positions of a fine sketch.
+FINE = 1024
 #: Rounds of further pivots for large nodes, and pivots of a node in a round.
 ROUNDS, PIVOTS = 3, 12
 #: Confirmed against one pivot's text in a group; classes whose keys are sent to every task, at most.
@@ -76,12 +81,12 @@ def shingle_sets(texts: list[bytes], k: int, word: WordHashes) -> tuple[list[np.
     return out, sizes
 
 
-def minwise(sets: list[np.ndarray], seed: int = 7) -> np.ndarray:
+def minwise(sets: list[np.ndarray], positions: int = POSITIONS, seed: int = 7) -> np.ndarray:
     """Minwise values (rows: sets, columns: positions) of non-empty sets."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    draw = np.random.default_rng(seed).integers(0, 1 << 63, size=(POSITIONS, 2), dtype=np.uint64)
-    out = np.empty((len(sets), POSITIONS), dtype=np.uint32)
+    draw = np.random.default_rng(seed).integers(0, 1 << 63, size=(positions, 2), dtype=np.uint64)
+    out = np.empty((len(sets), positions), dtype=np.uint32)
     for p, (a, b) in enumerate(draw):
         out[:, p] = np.minimum.reduceat(((flat * (a * np.uint64(2) + np.uint64(1)) + b) >> np.uint64(32)).astype(np.uint32), starts)
     return out
@@ -94,10 +99,10 @@ def sketches(values: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(nibble << shift, axis=2).view(np.int64)
 
 
-def margin(percent: int) -> int:
+def margin(percent: int, positions: int = POSITIONS) -> int:
     """Differing sketch positions that a pair at the threshold exceeds by four and a half standard deviations."""
     differ = (1 - percent / 100) * 15 / 16
-    return int(np.ceil(POSITIONS * differ + 4.5 * np.sqrt(POSITIONS * differ * (1 - differ))))
+    return int(np.ceil(positions * differ + 4.5 * np.sqrt(positions * differ * (1 - differ))))
 
 
 def text_key() -> Column:
@@ -130,15 +135,21 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return picked.mapInArrow(run, schema)
 
 
+def _nibbles(x: str) -> str:
+    """SQL: how many of a long's sixteen nibbles are not zero."""
+    x = f"({x} | shiftrightunsigned({x}, 1))"
+    return f"bit_count(({x} | shiftrightunsigned({x}, 2)) & 1229782938247303441L)"
+
+
 def _differ(a: str, b: str) -> str:
     """SQL: sketch positions in which two rows differ."""
+    return " + ".join(_nibbles(f"({a}.{s} ^ {b}.{s})") for s in SKETCH)
 
-    def one(s):
-        x = f"({a}.{s} ^ {b}.{s})"
-        x = f"({x} | shiftrightunsigned({x}, 1))"
-        return f"bit_count(({x} | shiftrightunsigned({x}, 2)) & 1229782938247303441L)"
 
-    return " + ".join(map(one, SKETCH))
+def _fine(a: str, b: str, percent: int) -> str:
+    """SQL: the fine sketches, where both rows have one, differ little enough."""
+    counted = f"aggregate(zip_with({a}.fine, {b}.fine, (u, v) -> u ^ v), 0, (n, w) -> n + {_nibbles('w')})"
+    return f"({a}.fine IS NULL OR {b}.fine IS NULL OR {counted} <= {margin(percent, FINE)})"
 
 
 def _alike(a: str, b: str, percent: int) -> str:
@@ -150,15 +161,15 @@ ROW = ["class", "n", *SKETCH]
 
 
 def top_nodes(classes: DataFrame, *more: str) -> DataFrame:
-    """A row for each class and top node; ``side`` tells the two pivot orders apart."""
-    spots = [F.struct(F.xxhash64(F.lit(t), F.lit(p), F.col("minwise")[p]).alias("node"), F.lit(t % 2).alias("side")) for t in range(TREES) for p in range(t * VALUES, (t + 1) * VALUES)]
-    return classes.select(*ROW, *more, F.explode(F.array(*spots)).alias("spot")).select(*ROW, *more, "spot.node", "spot.side")
+    """A row for each class and top node; ``at`` is the node's position, and ``at / VALUES`` its tree."""
+    spots = [F.struct(F.xxhash64(F.lit(p // VALUES), F.lit(p), F.col("minwise")[p]).alias("node"), F.lit(p).alias("at")) for p in range(TREES * VALUES)]
+    return classes.select(*ROW, *more, F.explode(F.array(*spots)).alias("spot")).select(*ROW, *more, "spot.node", "spot.at")
 
 
 def stars(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a: pivot, b) of classes that share a top node and look alike."""
     rows = top_nodes(classes)
-    rank = F.xxhash64("class", "side")
+    rank = F.xxhash64("class", F.floor(F.col("at") / VALUES) % 2)  # trees take the two orders in turn
     pivots = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("rank"), *ROW)).alias("pivot")).where("size > 1")
     pivots = written(pivots.select("node", "pivot.*").drop("rank"), "pivots")
     met = rows.alias("y").join(pivots.alias("p"), "node").where(f"p.class != y.class AND {_alike('p', 'y', percent)}")
@@ -172,10 +183,8 @@ def more_stars(classes: DataFrame, turn: int, percent: int) -> DataFrame | None:
     group that meets in many nodes is compared with few.  Spark limits the
     groups of a rank filter before it shuffles.
     """
-    rows = top_nodes(classes, "label").drop("side")
-    label = F.xxhash64("label")
-    mixed = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(label).alias("lo"), F.max(label).alias("hi"))
-    mixed = written(mixed.where((F.col("size") > SMALL) & (F.col("lo") != F.col("hi"))).select("node"), "large-nodes")
+    rows = top_nodes(classes, "label").drop("at")
+    mixed = written(_mixed(rows).where(F.col("size") > SMALL).select("node"), "large-nodes")
     if not mixed.take(1):
         return None
     rows = written(rows.join(mixed, "node"), "large-rows")
@@ -195,39 +204,73 @@ def relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(classes.join(roots, classes["label"] == roots["node"], "left").select(*columns), "labelled")
 
 
-def unresolved(classes: DataFrame, percent: int) -> DataFrame:
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(node, size) of the nodes that hold several labels."""
+    label = F.xxhash64("label")
+    out = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(label).alias("lo"), F.max(label).alias("hi"))
+    return out.where("lo != hi").select("node", "size")
+
+
+def fine_sketches(classes: DataFrame, every: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(class, fine) for the given classes, from their full sets."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        word = WordHashes()
+        for batch in text_chunks(batches, "text", 1 << 20):
+            sets, _ = shingle_sets(utf8(batch, "text"), k, word)
+            fine = sketches(minwise(sets, FINE, seed=11))
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(list(fine), type=pa.list_(pa.int64()))], names=["class", "fine"])
+
+    return written(texts_of(classes, every, docs).mapInArrow(run, "class binary, fine array<bigint>"), "fine-sketches")
+
+
+def unresolved(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of classes with different labels that share a node and look alike, by the recursion below the top."""
-    rows, out = top_nodes(classes, "label", "minwise").drop("side"), None
+    rows = top_nodes(classes, "label", "minwise")
+    mixed = written(_mixed(rows), "mixed-nodes")
+    rows = written(rows.join(mixed, "node"), "mixed-rows")
+    # the exhaustive nodes of each class, by position: a pair belongs to the first that it shares
+    lists = written(rows.where(F.col("size") <= WHOLE).groupBy("class").agg(F.collect_list(F.struct("at", "node")).alias("all")), "node-lists")
+    members = rows.where(F.col("size") > SMALL).select("class").distinct()
+    fine = fine_sketches(members, classes, docs, k)
+    rows = rows.join(lists, "class", "left").join(fine, "class", "left")
+    earlier = F.filter("all", lambda s: (s["at"] < F.col("at")) | (F.col("size") > WHOLE))
+    rows = rows.withColumn("before", F.coalesce(F.transform(earlier, lambda s: s["node"]), F.array().cast("array<bigint>"))).drop("all", "at")
+    rows, out = written(rows, "mixed-rows"), None
     for depth in range(DEPTH + 1):
-        label = F.xxhash64("label")
-        mixed = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo != hi")
-        mixed = written(mixed.select("node", "size"), "mixed-nodes")
-        large = mixed.where(F.col("size") > SMALL) if depth < DEPTH else mixed.limit(0)
-        small = mixed.where(F.col("size") <= SMALL) if depth < DEPTH else mixed
-        own = rows.drop("minwise").join(small.select("node"), "node")
-        pairs = own.alias("x").join(own.alias("y"), "node").where(f"x.class < y.class AND x.label != y.label AND {_alike('x', 'y', percent)}")
-        pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-        pairs = written(pairs.distinct(), "node-pairs")
+        own = rows.drop("minwise") if depth == DEPTH else rows.where(F.col("size") <= WHOLE).drop("minwise")
+        met = f"x.class < y.class AND x.label != y.label AND {_alike('x', 'y', percent)} AND NOT arrays_overlap(x.before, y.before) AND {_fine('x', 'y', percent)}"
+        pairs = own.alias("x").join(own.alias("y"), "node").where(met)
+        pairs = written(pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")), "node-pairs")
         out = pairs if out is None else out.union(pairs)
+        large = rows.where(F.col("size") > WHOLE)
         if depth == DEPTH or not large.take(1):
             break
         # positions come from the node's own path, so all its classes branch alike
         spots = F.transform(F.sequence(F.lit(1), F.lit(BRANCH)), lambda i: F.pmod(F.xxhash64(F.col("node"), i), F.lit(POSITIONS)).cast("int"))
-        deeper = rows.join(large.select("node"), "node").withColumn("spot", F.explode(F.array_distinct(spots)))
-        rows = written(deeper.withColumn("node", F.xxhash64("node", "spot", F.expr("minwise[spot]"))).drop("spot"), "deeper-nodes")
+        deeper = large.drop("size").withColumn("spot", F.explode(F.array_distinct(spots)))
+        deeper = written(deeper.withColumn("node", F.xxhash64("node", "spot", F.expr("minwise[spot]"))).drop("spot"), "deeper-nodes")
+        rows = written(deeper.join(written(_mixed(deeper), "mixed-nodes"), "node"), "mixed-rows")
     return out.distinct()
 
 
+def texts_of(some: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, text) of the given classes, each from the row that stands for it."""
+    need = some.join(classes, "class").select("class", F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
+    need = written(need, "asked-classes")
+    if need.count() <= SEND_AT_MOST:
+        need = F.broadcast(need)  # two keys and an id for each class
+    keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
+    return keyed.join(need, (keyed.text_key == need["_key"]) & keyed.doc_id.eqNullSafe(need["_id"])).select("class", "text")
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     pairs = written(pairs, "pairs")
     need = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    need = written(need.join(classes, "class").select("class", F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_key")), "pair-classes")
-    if need.count() <= SEND_AT_MOST:
-        need = F.broadcast(need)  # two keys and an id for each class
-    keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
-    texts = keyed.join(need, (keyed.text_key == need["_key"]) & keyed.doc_id.eqNullSafe(need["_id"])).select("class", "text")
-    texts = written(texts, "pair-texts")
+    texts = written(texts_of(need, classes, docs), "pair-texts")
     degree = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups")), "pair-degrees")
     dealt = written(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part")), "pair-groups")
     asked = dealt.select("a", "part", F.col("b").alias("class")).union(dealt.select("a", "part", F.col("a").alias("class")).distinct())
@@ -256,7 +299,7 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     base = written(signatures(docs, k), "signatures")
     sets = base.where(F.col("class").isNotNull())
     classes = sets.groupBy("class").agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("text_key", "doc_id")).alias("at"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise"), *(F.first(s).alias(s) for s in SKETCH)
+        F.min("doc_id").alias("least_id"), F.min(F.struct("text_key", "doc_id")).alias("row"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise"), *(F.first(s).alias(s) for s in SKETCH)
     )
     classes = written(classes, "classes")
     labelled = relabel(classes.withColumn("label", F.col("class")), confirm(stars(classes, percent), classes, docs, k, percent))
@@ -265,7 +308,7 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
         if pairs is None:
             break
         labelled = relabel(labelled, confirm(pairs, classes, docs, k, percent))
-    labelled = relabel(labelled, confirm(unresolved(labelled, percent), classes, docs, k, percent))
+    labelled = relabel(labelled, confirm(unresolved(labelled, docs, k, percent), classes, docs, k, percent))
     names = written(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "component-names")
     named = written(labelled.select("class", "label").join(names, "label").select("class", "component_id"), "class-names")
     out = base.select("doc_id", "text_key", "n_shingles", "class").join(named, "class", "left")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from odd import ROWS, corpus, lower, rows_of, table, words
 
 from cohortlens.llm import near_dup
@@ -38,8 +39,10 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_large_nodes_branch_and_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("whole", [5, 8192])
+def test_large_nodes_lose_nothing(spark, monkeypatch, whole):
     monkeypatch.setattr(near_dup, "SMALL", 3)
+    monkeypatch.setattr(near_dup, "WHOLE", whole)
     rnd = random.Random(9)
     base = [f"b{i}" for i in range(60)]
     rows = []
