@@ -39,6 +39,8 @@ from .registry import query
 
 FEATURES = C.FEATURES
 LABEL_COL = "label"
+#: Depth of the forests that are fitted several times over (the blueprint's 12 to 15); ``rf_fit`` grows its forest as deep as Spark can.
+FOREST_DEPTH = 15
 
 
 class Kept(list):
@@ -99,7 +101,8 @@ def head(name: str, n_train: int):
         return M.rbf_svm(n_train, len(FEATURES))
     return {
         "logistic_regression": lambda: M.logistic(n_train, labelCol=LABEL_COL),
-        "random_forest": lambda: M.random_forest(labelCol=LABEL_COL),
+        "random_forest": lambda: M.random_forest(depth=FOREST_DEPTH, labelCol=LABEL_COL),
+        "full_forest": lambda: M.random_forest(labelCol=LABEL_COL),
         "gradient_boosting": lambda: M.boosted_trees(labelCol=LABEL_COL),
         "xgboost_like": lambda: M.boosted_trees(rounds=100, step=0.3, depth=6, labelCol=LABEL_COL),
     }[name]()
@@ -182,7 +185,7 @@ def logreg_fit(spark, sf_dir, keep):
 
 @fitted("rf_fit")
 def rf_fit(spark, sf_dir, keep):
-    return _single(spark, sf_dir, keep, "random_forest")
+    return _single(spark, sf_dir, keep, "full_forest")
 
 
 @fitted("gbt_fit")
@@ -204,7 +207,7 @@ def ensemble(name: str, n_train: int) -> Pipeline:
     """
     boosted = lambda rounds, step, depth, seed=42: M.boosted_trees(rounds, step, depth, seed, labelCol=LABEL_COL)
     members = {
-        "plain": lambda: [("logistic_regression", head("logistic_regression", n_train)), ("random_forest", M.random_forest(150, labelCol=LABEL_COL)), ("gradient_boosting", boosted(100, 0.1, 3))],
+        "plain": lambda: [("logistic_regression", head("logistic_regression", n_train)), ("random_forest", M.random_forest(150, FOREST_DEPTH, labelCol=LABEL_COL)), ("gradient_boosting", boosted(100, 0.1, 3))],
         "tuned": lambda: [("random_forest", M.random_forest(200, 5, labelCol=LABEL_COL)), ("gradient_boosting", boosted(200, 0.05, 4)), ("xgboost_like", boosted(200, 0.05, 4, 7))],
     }[name]()
     return Pipeline(stages=M.feature_stages(FEATURES) + [M.SoftVotingClassifier(members)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -167,14 +168,50 @@ def test_score_requests_fixed_and_fitted(spark):
 
 
 def test_prepared_training_table_has_unique_stable_row_ids(spark):
-    from cohortlens.plans.experiments import prepared
-
-    data = prepared(spark, SF_SMALL)
-    stats = data.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("d")).first()
-    assert stats.n == stats.d == 6000
-    first = sorted(r.row_id for r in data.select("row_id").collect())
-    again = sorted(r.row_id for r in data.select("row_id").collect())
-    assert first == again
+    from cohortlens.plans.experiments import Kept, prepared
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with Kept() as keep:
+        data = prepared(spark, SF_SMALL, keep)
+        stats = data.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("d")).first()
+        assert stats.n == stats.d == 6000
+        first = sorted(r.row_id for r in data.select("row_id").collect())
+        again = sorted(r.row_id for r in data.select("row_id").collect())
+        assert first == again
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def _separable(spark, n=600):
+    rng = np.random.RandomState(8)
+    x = rng.normal(size=(n, 2))
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    rows = [(i, float(a), float(b), float(t)) for i, ((a, b), t) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "row_id long, a double, b double, label double")
+
+
+def test_trees_boosting_and_voting_recover_a_planted_rule(spark):
+    from pyspark.ml import Pipeline
+
+    df = _separable(spark)
+    train, test = df.where("row_id % 5 <> 0"), df.where("row_id % 5 = 0")
+    members = [("forest", M.random_forest(20, 12)), ("boosted", M.boosted_trees(20, 0.2, 3)), ("logistic", M.logistic(480))]
+    heads = {**dict(members), "vote": M.SoftVotingClassifier(members), "svm": M.rbf_svm(480, 2)}
+    for name, head in heads.items():
+        _, scored = M.fit_scored(Pipeline(stages=M.feature_stages(["a", "b"]) + [head]), train, test)
+        hits = scored.where(F.col(M.PRED) == F.col("label")).count()
+        assert hits >= 0.9 * test.count(), name
+
+
+def test_voting_importance_speaks_through_its_first_member(spark):
+    from cohortlens.plans import experiments as X
+
+    df = _separable(spark, 200).select(F.array("a", "b").alias("v"), "label")
+    from pyspark.ml.functions import array_to_vector
+
+    vec = df.select(array_to_vector("v").alias("features"), "label")
+    vote = M.SoftVotingClassifier([("boosted", M.boosted_trees(5, 0.2, 3)), ("logistic", M.logistic(200))]).fit(vec)
+    rows = X.importance_rows("vote", vote)
+    assert [r[2] for r in rows] == [float(v) for v in vote.fitted[0][1].featureImportances.toArray()]
 
 
 def test_tree_memory_follows_the_session(spark):
