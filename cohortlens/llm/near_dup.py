@@ -50,7 +50,7 @@ SMALL, WHOLE, DEPTH = 64, 8192, 2
 #: Minwise positions of a fine sketch.
 FINE = 1024
 #: Rounds of further pivots for large nodes, and pivots of a node in a round.
-ROUNDS, PIVOTS = 3, 12
+ROUNDS, PIVOTS = 1, 24
 #: Confirmed against one pivot's text in a group; classes whose keys are sent to every task, at most.
 GROUP, SEND_AT_MOST = 32, 1_000_000
 SKETCH = [f"s{i}" for i in range(POSITIONS // 16)]
@@ -197,6 +197,8 @@ def more_stars(classes: DataFrame, turn: int, percent: int) -> DataFrame | None:
 
 def relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``classes`` (with ``label``) after the links (a, b) have joined labels."""
+    if not links.take(1):
+        return classes
     named = classes.select("class", "label")
     ends = links.join(named.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b")
     roots = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
@@ -228,19 +230,19 @@ def fine_sketches(classes: DataFrame, every: DataFrame, docs: DataFrame, k: int)
 
 def unresolved(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of classes with different labels that share a node and look alike, by the recursion below the top."""
-    rows = top_nodes(classes, "label", "minwise")
+    rows = top_nodes(classes, "label")
     mixed = written(_mixed(rows), "mixed-nodes")
     rows = written(rows.join(mixed, "node"), "mixed-rows")
     # the exhaustive nodes of each class, by position: a pair belongs to the first that it shares
     lists = written(rows.where(F.col("size") <= WHOLE).groupBy("class").agg(F.collect_list(F.struct("at", "node")).alias("all")), "node-lists")
     members = rows.where(F.col("size") > SMALL).select("class").distinct()
     fine = fine_sketches(members, classes, docs, k)
-    rows = rows.join(lists, "class", "left").join(fine, "class", "left")
+    rows = rows.join(lists, "class", "left").join(fine, "class", "left").withColumn("fine", F.when(F.col("size") > SMALL, F.col("fine")))
     earlier = F.filter("all", lambda s: (s["at"] < F.col("at")) | (F.col("size") > WHOLE))
     rows = rows.withColumn("before", F.coalesce(F.transform(earlier, lambda s: s["node"]), F.array().cast("array<bigint>"))).drop("all", "at")
     rows, out = written(rows, "mixed-rows"), None
     for depth in range(DEPTH + 1):
-        own = rows.drop("minwise") if depth == DEPTH else rows.where(F.col("size") <= WHOLE).drop("minwise")
+        own = rows if depth == DEPTH else rows.where(F.col("size") <= WHOLE)
         met = f"x.class < y.class AND x.label != y.label AND {_alike('x', 'y', percent)} AND NOT arrays_overlap(x.before, y.before) AND {_fine('x', 'y', percent)}"
         pairs = own.alias("x").join(own.alias("y"), "node").where(met)
         pairs = written(pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")), "node-pairs")
@@ -250,8 +252,8 @@ def unresolved(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
             break
         # positions come from the node's own path, so all its classes branch alike
         spots = F.transform(F.sequence(F.lit(1), F.lit(BRANCH)), lambda i: F.pmod(F.xxhash64(F.col("node"), i), F.lit(POSITIONS)).cast("int"))
-        deeper = large.drop("size").withColumn("spot", F.explode(F.array_distinct(spots)))
-        deeper = written(deeper.withColumn("node", F.xxhash64("node", "spot", F.expr("minwise[spot]"))).drop("spot"), "deeper-nodes")
+        deeper = large.drop("size").join(classes.select("class", "minwise"), "class").withColumn("spot", F.explode(F.array_distinct(spots)))
+        deeper = written(deeper.withColumn("node", F.xxhash64("node", "spot", F.expr("minwise[spot]"))).drop("spot", "minwise"), "deeper-nodes")
         rows = written(deeper.join(written(_mixed(deeper), "mixed-nodes"), "node"), "mixed-rows")
     return out.distinct()
 
