@@ -162,7 +162,7 @@ ROW = ["class", "n", *SKETCH]
 
 def top_nodes(classes: DataFrame, *more: str) -> DataFrame:
     """A row for each class and top node; ``at`` is the node's position, and ``at / VALUES`` its tree."""
-    spots = [F.struct(F.xxhash64(F.lit(p // VALUES), F.lit(p), F.col("minwise")[p]).alias("node"), F.lit(p).alias("at")) for p in range(TREES * VALUES)]
+    spots = [F.struct(F.xxhash64(F.lit(p // VALUES), F.lit(p), F.col("top")[p]).alias("node"), F.lit(p).alias("at")) for p in range(TREES * VALUES)]
     return classes.select(*ROW, *more, F.explode(F.array(*spots)).alias("spot")).select(*ROW, *more, "spot.node", "spot.at")
 
 
@@ -228,9 +228,9 @@ def fine_sketches(classes: DataFrame, every: DataFrame, docs: DataFrame, k: int)
     return written(texts_of(classes, every, docs).mapInArrow(run, "class binary, fine array<bigint>"), "fine-sketches")
 
 
-def unresolved(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def unresolved(labelled: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of classes with different labels that share a node and look alike, by the recursion below the top."""
-    rows = top_nodes(classes, "label")
+    rows = top_nodes(labelled, "label")
     mixed = written(_mixed(rows), "mixed-nodes")
     rows = written(rows.join(mixed, "node"), "mixed-rows")
     # the exhaustive nodes of each class, by position: a pair belongs to the first that it shares
@@ -303,14 +303,14 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     classes = sets.groupBy("class").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("text_key", "doc_id")).alias("row"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise"), *(F.first(s).alias(s) for s in SKETCH)
     )
-    classes = written(classes, "classes")
-    labelled = relabel(classes.withColumn("label", F.col("class")), confirm(stars(classes, percent), classes, docs, k, percent))
+    classes = written(classes.withColumn("top", F.slice("minwise", 1, TREES * VALUES)), "classes")
+    labelled = relabel(classes.drop("minwise", "row").withColumn("label", F.col("class")), confirm(stars(classes, percent), classes, docs, k, percent))
     for turn in range(ROUNDS):
         pairs = more_stars(labelled, turn + 2, percent)
         if pairs is None:
             break
         labelled = relabel(labelled, confirm(pairs, classes, docs, k, percent))
-    labelled = relabel(labelled, confirm(unresolved(labelled, docs, k, percent), classes, docs, k, percent))
+    labelled = relabel(labelled, confirm(unresolved(labelled, classes, docs, k, percent), classes, docs, k, percent))
     names = written(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "component-names")
     named = written(labelled.select("class", "label").join(names, "label").select("class", "component_id"), "class-names")
     out = base.select("doc_id", "text_key", "n_shingles", "class").join(named, "class", "left")
