@@ -50,6 +50,17 @@ def test_probabilities_sum_to_one_and_runs_agree(spark, monkeypatch):
     assert all(math.isclose(out[k], again[k], rel_tol=1e-6) for k in out)
 
 
+def test_every_previous_word_has_a_restaurant(spark):
+    from pyspark.sql import functions as F
+
+    n = 150  # more than any fixed number of frequent words would hold apart
+    rows = rows_of([f"a{i} b{i}" for i in range(n)] * 4)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    probes = spark.createDataFrame([(10_000 + i, f"a{i} b{i}", "x", "x") for i in range(n)] + [(20_000 + i, f"a{i} b{(i + 1) % n}", "x", "x") for i in range(n)], df.schema)
+    out = {r["doc_id"]: r["score"] for r in hpylm.score(df.union(probes), F.col("doc_id") < 10_000).collect()}
+    assert all(out[10_000 + i] > out[20_000 + i] + 1 for i in range(n))
+
+
 def test_seating_follows_the_restaurant_process():
     rng = np.random.default_rng(0)
     n, d, theta = 20_000, 0.5, 1.0
