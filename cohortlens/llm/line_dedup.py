@@ -186,9 +186,12 @@ def _store(docs: DataFrame, n_batches: int, min_chars: int) -> LineRuns:
     return store
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, n_batches: int = BATCHES, send_at_most: int = SEND_AT_MOST, prefix: str = "") -> DataFrame:
-    """Take in ``docs`` batch by batch, then drop the frequent lines; adds the columns of ``apply``."""
-    return apply(docs, _store(docs, n_batches, min_chars).frequent(min_docs), min_chars, send_at_most, prefix)
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, n_batches: int = BATCHES, send_at_most: int = SEND_AT_MOST, prefix: str = "", counted: DataFrame | None = None) -> DataFrame:
+    """Take in ``docs`` batch by batch, then drop the frequent lines; adds the columns of ``apply``.
+
+    ``counted``: rows to count the lines of, if not those of ``docs``.
+    """
+    return apply(docs, _store(docs if counted is None else counted, n_batches, min_chars).frequent(min_docs), min_chars, send_at_most, prefix)
 
 
 def digests(docs: DataFrame) -> DataFrame:

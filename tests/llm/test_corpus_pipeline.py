@@ -103,6 +103,19 @@ def test_stages_take_effect_and_keep_columns(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == len(got)
 
 
+def test_copy_groups_keep_one_whole_text(spark):
+    rnd = random.Random(4)
+    line = lambda k: " ".join(f"v{rnd.randrange(5000)}" for _ in range(k))
+    exact, near = ("\n".join(line(12) for _ in range(10)) for _ in range(2))
+    texts = [exact] * 12 + [f"{near}\n{line(3)}" for _ in range(12)] + ["two words"] * 12 + [f"{line(40)}\nall rights reserved" for _ in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    cut = written(corpus_pipeline.drop_lines(spark, docs, ""), "test-copy-groups")
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == {i: t.removesuffix("\nall rights reserved") for i, t in enumerate(texts)}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_near_copies(spark, cut, "").collect()}
+    assert sorted(i for i in kept if i < 24) == [0, 12]
+    assert kept[0] == texts[0] and kept[12] == texts[12]
+
+
 def test_library_does_not_import_the_corpus_folder():
     root = Path(corpus_pipeline.__file__).parent / "cohortlens"
     for path in root.rglob("*.py"):
