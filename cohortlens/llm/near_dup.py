@@ -296,8 +296,12 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     return written(groups.groupBy("a", "part").applyInArrow(run, "a binary, b binary"), "links")
 
 
-def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, text_key, n_shingles and component_id (the smallest id reachable over links)."""
+def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, label: bool = False) -> DataFrame:
+    """Per row: doc_id, text_key, n_shingles and component_id (the smallest id reachable over links).
+
+    ``label``: also the component's own name, which repeated and null ids leave distinct; null for an empty set.
+    """
+    also = ["label"] if label else []
     base = written(signatures(docs, k), "signatures")
     sets = base.where(F.col("class").isNotNull())
     classes = sets.groupBy("class").agg(
@@ -312,9 +316,9 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
         labelled = relabel(labelled, confirm(pairs, classes, docs, k, percent))
     labelled = relabel(labelled, confirm(unresolved(labelled, classes, docs, k, percent), classes, docs, k, percent))
     names = written(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "component-names")
-    named = written(labelled.select("class", "label").join(names, "label").select("class", "component_id"), "class-names")
+    named = written(labelled.select("class", "label").join(names, "label").select("class", "component_id", *also), "class-names")
     out = base.select("doc_id", "text_key", "n_shingles", "class").join(named, "class", "left")
-    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *also)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -326,11 +330,14 @@ def report(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their component; one of repeated rows.
 
+    A component is stood for by its least (doc_id, text_key), null ids last.
     Rows with an empty set all stay.
     """
-    rows = cluster(docs, k, percent)
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (F.col("n_shingles") == 0).alias("_empty"))
-    kept = written(kept.groupBy("_id", "_key").agg(F.max("_empty").alias("_empty")), "kept-keys")
+    rows = cluster(docs, k, percent, label=True)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))).alias("least")
+    kept = rows.where("label IS NOT NULL").groupBy("label").agg(least).select("least._id", "least._key", F.lit(False).alias("_empty"))
+    empty = rows.where("label IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(True).alias("_empty")).distinct()
+    kept = written(kept.unionByName(empty), "kept-keys")
     marked = docs.withColumn("_text_key", text_key())
     same = marked.doc_id.eqNullSafe(kept["_id"]) & (marked["_text_key"] == kept["_key"])
     joined = marked.join(kept, same).drop("_id", "_key")

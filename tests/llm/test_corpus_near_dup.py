@@ -68,3 +68,11 @@ def test_representatives_and_empty_table(spark):
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 9]
     assert near_dup.report(table(spark, [])).count() == 0
+
+
+def test_one_row_stands_for_a_group_with_repeated_or_null_ids(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    near = lambda a: [f"{words(a)} end{i}" for i in range(3)]
+    rows = [(7, t) for t in near("p")] + [(None, t) for t in near("q")] + [(None, t) for t in near("r")] + [(7, words("s")), (7, words("s")), (None, ""), (None, "")]
+    out = near_dup.representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in out) == [(0, ""), (0, ""), (0, "q"), (0, "r"), (7, "p"), (7, "s")]
