@@ -17,7 +17,7 @@ from cohortlens.sources import io
 from cohortlens.sources.schema import COHORT_SCHEMA
 from cohortlens.sources.tables import cohort
 from cohortlens.streaming.score import score_events, stream_to_table, tier_counts
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 
 
 def test_logistic_regression_recovers_planted_effects(spark):

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from oracle_check import compare, duck, rows_of_duck, rows_of_spark
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()

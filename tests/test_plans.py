@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from cohortlens.plans.catalogue import QUERIES
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapCoGroupsInPandas", "FlatMapGroupsInPandas", "MapInPandas")
 # kNN computes its distance blocks with numpy in an Arrow-batched cogroup, on purpose
