@@ -48,7 +48,7 @@ BLOCK_TURNS = 1 << 18
 NAME = 16
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
-#: kind 0: whole node; 1: part of a border node or a correction; 2: first and last conversation of a partition; 3: ids of a border node.
+#: kind 0: whole node; 1: part of a border node; 2: first and last conversation of a partition; 3: ids of a border node; 4: correction of a border node.
 ROWS = (
     "kind int, block bigint, node binary, parent binary, conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, "
     "n_children bigint, n_leaves bigint, saved_tokens bigint, ends string, first_key binary, first_sizes binary, last_key binary, last_sizes binary"
@@ -207,16 +207,16 @@ def corrections(block: int, last_key: bytes, last_sizes: np.ndarray, first_key:
     run = np.concatenate([[0], np.cumsum(last_sizes[:c])]).astype(np.int64)
     digests = prefix_digests(last_key[: c * NAME])
     zero = np.zeros(c + 1, dtype=np.int64)
-    columns = {"kind": zero + 1, "block": zero + block, "node": digests, "parent": [None, *digests[:-1]], "depth": d, "n_convs": zero, "n_children": -(d < c).astype(np.int64), "n_leaves": zero - int(c == len(here)), "saved_tokens": run[c] - run[np.maximum(d - 1, 0)]}
+    columns = {"kind": zero + 4, "block": zero + block, "node": digests, "parent": [None, *digests[:-1]], "depth": d, "n_convs": zero, "n_children": -(d < c).astype(np.int64), "n_leaves": zero - int(c == len(here)), "saved_tokens": run[c] - run[np.maximum(d - 1, 0)]}
     return _rows(columns, c + 1)
 
 
 # ------------------------------------------------------------------ over all blocks
-def _in_blocks(batches):
+def _in_blocks(batches, block_turns: int):
     """Rows of ``ROWS`` from one range partition, sorted by (key, id)."""
     from pyspark import TaskContext
 
-    part, block_turns = TaskContext.get().partitionId(), BLOCK_TURNS
+    part = TaskContext.get().partitionId()
     first, last, made, ids, keys, sizes, held = None, None, 0, [], [], [], 0
 
     def block():
@@ -272,9 +272,10 @@ def _lists(batches):
 
 def trie(sequences: DataFrame) -> DataFrame:
     """The nodes over ``sequences`` (conv_id, key, sizes): one row a node."""
+    block_turns = BLOCK_TURNS
     parts = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = written(sequences, "trie-sequences").repartitionByRange(parts, "key", "conv_id").sortWithinPartitions("key", "conv_id")
-    rows = written(placed.select("conv_id", "key", "sizes").mapInArrow(_in_blocks, ROWS), "trie-rows")
+    rows = written(placed.select("conv_id", "key", "sizes").mapInArrow(lambda batches: _in_blocks(batches, block_turns), ROWS), "trie-rows")
 
     by_part = Window.orderBy("block")  # one row a partition
     edges = rows.where("kind = 2").select("block", "first_key", F.lag("last_key").over(by_part).alias("before_key"), F.lag("last_sizes").over(by_part).alias("before_sizes"))
@@ -282,7 +283,7 @@ def trie(sequences: DataFrame) -> DataFrame:
 
     partial = rows.where("kind = 1")
     sums = [F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")]
-    border = partial.unionByName(between).groupBy("node").agg(F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.min("conv_id").alias("conv_id"), *sums)
+    border = rows.where("kind IN (1, 4)").unionByName(between).groupBy("node").agg(F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.min("conv_id").alias("conv_id"), *sums)
     lists = rows.where("kind = 3").select("node", "block", "ends").repartition("node").sortWithinPartitions("node", "block").mapInArrow(_lists, "node binary, ends string")
     border = written(border.join(lists, "node", "left"), "trie-border")
 
