@@ -1,14 +1,15 @@
 """Preparation: deterministic splits, exact stratified split, folds, scaling.
 
 Splits are functions of an md5 hash of the row key, so they do not depend
-on partitioning or on the engine.  The exact-size stratified split needs a
-rank per class; it uses the bucketed running sums of ``ordered`` with
-buckets cut directly on the uniform hash (no sampling pass), so no task ever
-holds a whole class.
+on partitioning or on the engine.  Splits of an exact size find the hash they
+end at by counting its digits.  Balanced folds need a rank per class; they use
+the bucketed running sums of ``ordered`` with buckets cut directly on the
+uniform hash (no sampling pass), so no task ever holds a whole class.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 from fractions import Fraction
@@ -18,7 +19,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -54,20 +55,79 @@ def class_ranks(
     return ranked.withColumnRenamed("cum__one", alias).drop("_b", "_one"), sizes
 
 
-def stratified_split(df: DataFrame, test_share: float | Fraction = 0.2, label: str = C.LABEL, **kw) -> DataFrame:
-    """Exactly ceil(test_share * n_class) test rows per class (lowest hash ranks).
+#: Bits of the hash that one counting pass looks at: 2^16 counters a class.
+DIGIT_BITS = 16
+
 
-    The share is taken as the exact decimal it is written as (0.2 = 1/5), so
-    the cut does not depend on binary rounding of ``0.2 * n``.
+def cut_hashes(keys: DataFrame, share: Fraction, cls: str, h: str) -> dict:
+    """Class -> (cut, ties wanted, ties there): the lowest ``ceil(share n)`` hashes of a class end at ``cut``.
+
+    Two aggregates: rows by the hash's upper digit, then by the lower digit
+    among the rows of the one upper digit that holds the cut.
+    """
+    digit = F.shiftright(F.col(h), DIGIT_BITS)
+    found: dict = {}
+    for r in keys.where(F.col(h).isNotNull()).groupBy(cls, digit.alias("d")).count().collect():
+        found.setdefault(r[0], {})[r[1]] = r[2]
+    uppers = {}
+    for c, counts in found.items():
+        left = math.ceil(share * sum(counts.values()))
+        for d in sorted(counts):
+            if left <= counts[d]:
+                uppers[c] = (d, left)
+                break
+            left -= counts[d]
+    here = functools.reduce(lambda a, b: a | b, [F.col(cls).eqNullSafe(F.lit(c)) & (digit == d) for c, (d, _) in uppers.items()], F.lit(False))
+    lower: dict = {}
+    for r in keys.where(here).groupBy(cls, F.col(h).alias("h")).count().collect():
+        lower.setdefault(r[0], {})[r[1]] = r[2]
+    cuts = {}
+    for c, counts in lower.items():
+        left = uppers[c][1]
+        for value in sorted(counts):
+            if left <= counts[value]:
+                cuts[c] = (value, left, counts[value])
+                break
+            left -= counts[value]
+    return cuts
+
+
+def exact_split(
+    df: DataFrame,
+    test_share: float | Fraction = 0.2,
+    label: str | None = None,
+    h: str = "h_split",
+    tie_breakers: Sequence[str] = (*C.KEYS, *C.FEATURES),
+) -> DataFrame:
+    """Exactly ``ceil(test_share * n)`` test rows, of the table or of each class of ``label``: those with the lowest hashes.
+
+    The cut is found by counting digits of the hash, so rows are filtered,
+    not ranked; only where several rows share the cut's hash and some of them
+    are wanted are these few ranked by ``tie_breakers``.  The share is taken
+    as the exact decimal it is written as (0.2 = 1/5).  Rows without a hash
+    are training rows.
     """
     share = test_share if isinstance(test_share, Fraction) else Fraction(str(test_share))
-    ranked, sizes = class_ranks(df, label, **kw)
-    cut = None
-    for cls, n in sizes.items():
-        cond = (F.col(label) == F.lit(cls)) & (F.col("rank") <= F.lit(math.ceil(share * n)))
-        cut = cond if cut is None else (cut | cond)
-    is_t = cut if cut is not None else F.lit(False)
-    return ranked.withColumn("part", F.when(is_t, F.lit("test")).otherwise(F.lit("train")))
+    cls = F.lit(0) if label is None else F.col(label)
+    cuts = cut_hashes(materialize(df.select(cls.alias("_cls"), F.col(h).alias("_h"))), share, "_cls", "_h")
+    test, tied = F.lit(False), F.lit(False)
+    for c, (cut, wanted, there) in cuts.items():
+        own = cls.eqNullSafe(F.lit(c))
+        test = test | (own & (F.col(h) < cut if wanted < there else F.col(h) <= cut))
+        tied = tied | (own & (F.col(h) == cut)) if wanted < there else tied
+    part = lambda cond: F.when(F.coalesce(cond, F.lit(False)), F.lit("test")).otherwise(F.lit("train"))
+    if all(wanted == there for _, wanted, there in cuts.values()):
+        return df.withColumn("part", part(test))
+    tied = F.coalesce(tied, F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(cls).orderBy(*tie_breakers))
+    first = functools.reduce(lambda a, b: a | b, [cls.eqNullSafe(F.lit(c)) & (F.col("_rank") <= wanted) for c, (_, wanted, _) in cuts.items()])
+    ranked = df.where(tied).withColumn("_rank", rank).withColumn("part", part(first)).drop("_rank")
+    return df.where(~tied).withColumn("part", part(test)).unionByName(ranked)
+
+
+def stratified_split(df: DataFrame, test_share: float | Fraction = 0.2, label: str = C.LABEL, **kw) -> DataFrame:
+    """``exact_split`` within each class of ``label``."""
+    return exact_split(df, test_share, label, **kw)
 
 
 def fold_column(df: DataFrame, folds: int = C.N_FOLDS, label: str = C.LABEL, alias: str = "fold", **kw) -> DataFrame:
@@ -76,6 +136,23 @@ def fold_column(df: DataFrame, folds: int = C.N_FOLDS, label: str = C.LABEL, ali
     return ranked.withColumn(alias, (F.col("rank") % F.lit(folds)).cast("int"))
 
 
+def with_row_id(df: DataFrame, key: Sequence[str], alias: str = "row_id") -> DataFrame:
+    """``df``, checkpointed, with a unique 64-bit id that depends on the row alone.
+
+    The id is a hash of ``key`` and, among rows with an equal key, of their
+    number; should two hashes ever meet, all are drawn anew.  Rows with an
+    equal key should be equal in every column that matters.
+    """
+    again = Window.partitionBy(*key).orderBy(*key)
+    counted = df.withColumn("_again", F.row_number().over(again))
+    for salt in range(8):
+        out = materialize(counted.withColumn(alias, F.xxhash64(F.lit(salt), *key, "_again")).drop("_again"))
+        n, distinct = out.agg(F.count(F.lit(1)), F.count_distinct(alias)).first()
+        if n == distinct:
+            return out
+    raise RuntimeError("no unique row ids")
+
+
 # ------------------------------------------------------------------ scaler
 class _ScalerParams(HasInputCols, HasOutputCols):
     pass

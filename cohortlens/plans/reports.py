@@ -36,7 +36,22 @@ def write_chart_data(spark: SparkSession, sf_dir: str, out_dir: str, names=CHART
 
 
 def write_prediction_report(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
-    """The prediction report over every scored test row, as CSV with header."""
+    """The prediction report over every scored row, as CSV with header."""
     from .catalogue import QUERIES
 
     write_csv_report(QUERIES["prediction_report"][0](spark, sf_dir), out_dir)
+
+
+#: fixed values: the columns of the comparison report, metric by metric
+COMPARISON_METRICS = {"accuracy": "accuracy", "precision": "precision", "recall": "recall", "f1": "f1", "roc_auc": "auc"}
+
+
+def write_model_comparison(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
+    """Mean and deviation of every fold metric by model, as CSV with header."""
+    from pyspark.sql import functions as F
+
+    from .catalogue import QUERIES
+
+    wide = QUERIES["model_comparison"][0](spark, sf_dir)
+    columns = [F.col(f"{own}_{part}").alias(f"{name}_{part}") for name, own in COMPARISON_METRICS.items() for part in ("mean", "std")]
+    write_csv_report(wide.select("model", *columns).orderBy("model"), out_dir)

@@ -204,6 +204,17 @@ def metric_series(spark, sf_dir):
     return G.rounded(long.where(F.col("metric").isin("accuracy", "f1")))
 
 
+@query(
+    "picked_model",
+    SCORED
+    + f"\n, mm AS ({_metrics_sql('test_scores')})\n"
+    f"SELECT * FROM mm WHERE model = {S.q(MODELS[-1])}",
+)
+def picked_model(spark, sf_dir):
+    """All metrics of one model picked by name."""
+    return G.rounded(E.select_model(_model_metrics(spark, sf_dir), MODELS[-1]))
+
+
 @query(
     "best_model",
     SCORED
@@ -361,21 +372,34 @@ RANKED_CTE = (
 TEST_SHARE = Fraction(1, C.TEST_MODULUS)
 
 
-@query(
-    "stratified_split",
-    S.with_cohort(RANKED_CTE)
-    + f"""
-SELECT CASE WHEN rnk * {TEST_SHARE.denominator} <= cls_n * {TEST_SHARE.numerator} + {TEST_SHARE.denominator - 1}
+def _split_sql(n: str) -> str:
+    return f"""
+SELECT CASE WHEN rnk * {TEST_SHARE.denominator} <= {n} * {TEST_SHARE.numerator} + {TEST_SHARE.denominator - 1}
             THEN 'test' ELSE 'train' END AS part,
-       outcome, count(*) AS n, min(rnk) AS min_rank, max(rnk) AS max_rank FROM ranked GROUP BY 1, 2""",
-)
-def stratified_split(spark, sf_dir):
-    s = P.stratified_split(T.cohort(spark, sf_dir), TEST_SHARE)
-    return s.groupBy("part", C.LABEL).agg(
-        F.count(F.lit(1)).alias("n"), F.min("rank").cast("bigint").alias("min_rank"), F.max("rank").cast("bigint").alias("max_rank")
+       outcome, count(*) AS n, min(h_split) AS min_hash, max(h_split) AS max_hash, sum(h_split % 1000) AS hash_sum FROM ranked GROUP BY 1, 2"""
+
+
+def _split_rows(parts):
+    return parts.groupBy("part", C.LABEL).agg(
+        F.count(F.lit(1)).alias("n"), F.min("h_split").alias("min_hash"), F.max("h_split").alias("max_hash"), F.sum(F.col("h_split") % 1000).alias("hash_sum")
     )
 
 
+@query("stratified_split", S.with_cohort(RANKED_CTE) + _split_sql("cls_n"))
+def stratified_split(spark, sf_dir):
+    return _split_rows(P.stratified_split(T.cohort(spark, sf_dir), TEST_SHARE))
+
+
+@query(
+    "exact_split",
+    S.with_cohort(f"ranked AS (SELECT *, row_number() OVER (ORDER BY h_split, {S.KEY_LIST}, {S.FEATURE_LIST}) AS rnk, count(*) OVER () AS n FROM cohort)")
+    + _split_sql("ranked.n"),
+)
+def exact_split(spark, sf_dir):
+    """Exactly a fifth of all rows (rounded up), whatever their class."""
+    return _split_rows(P.exact_split(T.cohort(spark, sf_dir), TEST_SHARE))
+
+
 @query(
     "fold_assignment",
     S.with_cohort(RANKED_CTE)
