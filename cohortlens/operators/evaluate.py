@@ -17,7 +17,7 @@ from .. import constants as C
 from ..session import materialize
 from ..functions.derive import dbl, fixed_score, predicted_label
 from .joins import broadcast_if_bounded
-from .ordered import bucket_count, bucketize, running_totals, sampled_splits
+from .ordered import bucket_count, bucket_splits, bucketize, running_totals
 
 
 def fixed_scores_long(df: DataFrame, keep: Sequence[str], models=C.SCORE_MODELS) -> DataFrame:
@@ -85,7 +85,7 @@ def roc_curve(df: DataFrame, by: Sequence[str], label: str, score: str, origin:
     # read the (aggregated) input once for the passes that follow
     counts = materialize(score_counts(df, by, label, score))
     n = counts.count()
-    splits = sampled_splits(counts, ["threshold"], bucket_count(n), n)
+    splits = bucket_splits(counts, ["threshold"], bucket_count(n))
     staged = bucketize(counts, ["threshold"], ["_b"], splits)
     cum = running_totals(staged, by, "_b", [F.col("threshold").desc()], ["pos", "neg"], descending=True)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))

@@ -85,13 +85,22 @@ def test_lookup_default_other(spark):
 
 
 # ---------------------------------------------------------------- ordered
-def test_exact_quantiles_match_numpy_with_many_buckets(spark):
+def test_images_keep_the_order_of_doubles():
+    xs = np.array([-np.inf, -1e300, -2.5, -1e-310, -0.0, 0.0, 1e-310, 0.1, 2.5, 1e300, np.inf])
+    keys = O.image(xs)
+    assert all(a <= b for a, b in zip(keys, keys[1:])) and keys[4] == keys[5]
+    assert [O.double(int(k)) for k in keys] == [float(x) for x in xs]
+
+
+@pytest.mark.parametrize("ranges", [512, 3])
+def test_exact_quantiles_match_numpy_by_group(spark, monkeypatch, ranges):
+    monkeypatch.setattr(O, "RANGES", ranges)
     rng = random.Random(7)
     vals = [rng.choice([1.0, 2.0, 2.0, 3.5]) if i % 3 == 0 else rng.gauss(0, 10) for i in range(3000)]
     groups = [i % 2 for i in range(3000)]
     df = spark.createDataFrame(list(zip(groups, vals)), "g int, v double").repartition(7)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    q = O.exact_quantiles(df, ["v"], probs, by=["g"], rows_per_bucket=50)
+    q = O.exact_quantiles(df, ["v"], probs, by=["g"])
     got = {(r.g, r.prob): r.value for r in q.collect()}
     for g in (0, 1):
         arr = np.array([v for gg, v in zip(groups, vals) if gg == g])
@@ -103,7 +112,8 @@ def test_running_totals_equal_single_window(spark):
     rng = random.Random(3)
     rows = [(i % 3, rng.random(), rng.randint(0, 5)) for i in range(2000)]
     df = spark.createDataFrame(rows, "g int, x double, w int")
-    splits = O.sampled_splits(df, ["x"], 20, df.count())
+    splits = O.bucket_splits(df, ["x"], 20)
+    assert len(splits[0]) == 21
     staged = O.bucketize(df, ["x"], ["b"], splits)
     got = O.running_totals(staged, ["g"], "b", [F.col("x")], ["w"]).collect()
     for g in range(3):

@@ -25,7 +25,7 @@ values = st.lists(
 def test_exact_quantiles_equal_numpy(spark, xs):
     df = spark.createDataFrame([(x,) for x in xs], "v double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = {r.prob: r.value for r in O.exact_quantiles(df, ["v"], probs, rows_per_bucket=7).collect()}
+    got = {r.prob: r.value for r in O.exact_quantiles(df, ["v"], probs).collect()}
     for p in probs:
         assert math.isclose(got[p], float(np.percentile(np.array(xs), p * 100)), rel_tol=1e-12, abs_tol=1e-9)
 
