@@ -371,6 +371,35 @@ def test_knn_on_small_and_duplicated_tables(spark, n, distinct):
     assert all(got.get(q, []) == w for q, w in want.items())
 
 
+def test_pivot_tree_of_three_levels_bounds_every_row(spark):
+    """Each row lies within the radius of every ancestor's pivot, and the pruned search over three levels is exact."""
+    from cohortlens.operators.knn import pivot_tree
+
+    rng = np.random.RandomState(5)
+    arr = np.round(rng.normal(size=(400, 3)), 2)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(arr)], "_id long, _v array<double>")
+    leaves, levels = pivot_tree(df, 8, 4, 64)
+    assert len(levels) >= 3
+    balls = {r["_node"]: r for level in levels for r in level.collect()}
+    rows = leaves.collect()
+    assert sorted(r["_id"] for r in rows) == list(range(400))
+    sizes = {}
+    for r in rows:
+        node = r["_node"]
+        assert not balls[node]["_open"]
+        while node:
+            ball = balls[node]
+            sizes[node] = sizes.get(node, 0) + 1
+            assert math.dist(r["_v"], ball["_mu"]) <= ball["_r"] + 1e-12
+            node = ball["_parent"]
+    assert all(balls[n]["_n"] == m for n, m in sizes.items()) and len(sizes) == len(balls)
+    got = {}
+    for r in knn(df.toDF("vec_id", "embedding"), 4, leaf_size=8, branch=4, block=64).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.neighbour_id))
+    want = _brute_knn(list(range(400)), arr, 4)
+    assert {q: [n for _, n in sorted(v)] for q, v in got.items()} == {q: [x if not isinstance(x, tuple) else x[-1] for x in v] for q, v in want.items()}
+
+
 def test_knn_refuses_mixed_lengths_and_leaves_out_null_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError):
