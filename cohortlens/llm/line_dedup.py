@@ -1,11 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-The store is a set of runs in the shared folder.  A run is a Parquet table
-of (hash, number of documents), sorted by hash within its files.  Every new
-batch is reduced to its own run, held against the stored runs by a merge
-anti join (which tells new lines from known ones), and added to level 0.
-When a level holds ``fanout`` runs they are merged into one run of the next
-level, so a batch meets few runs and each row is rewritten once a level.
+The store is a set of runs in the shared folder: tables of (hash, number of
+documents), bucketed and sorted by hash, and no two runs hold the same key.
+Every new batch is reduced to its own keys and merge-anti-joined with the
+stored runs, which lie in the order of the join and are not shuffled again.
+What no run knows becomes the batch's own run of level 0; the counts of known
+keys are kept as increments.  When a level holds ``fanout`` runs they are
+merged into one run of the next level, so a batch meets few runs and each key
+is rewritten once a level.  A key's documents are those of its run and of its
+increments together.
 
 A line's key is the line without ASCII white space at both ends, in ASCII
 lower case; its hash has 128 bits.  Keys of at least ``min_chars`` code
@@ -18,6 +21,8 @@ repeated rows count each.  Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +32,8 @@ from cohortlens.llm.common import scratch, text_chunks, utf8, with_fields, writt
 
 MIN_DOCS, MIN_CHARS = 10, 1
 BATCHES, FANOUT = 4, 2
-#: Frequent keys that are sent to every task; more of them meet the documents by a join.
-SEND_AT_MOST = 1 << 20
+#: Frequent keys that are sent to every task (about 15 MB there); more of them meet the documents by a join.
+SEND_AT_MOST = 1 << 17
 _EDGE = b" \t\n\x0b\x0c\r"
 
 
@@ -76,57 +81,81 @@ def line_counts(docs: DataFrame, batch: str, min_chars: int = MIN_CHARS) -> Data
 
 @dataclass
 class LineRuns:
-    """The levelled runs: (level, path) of each, oldest first."""
+    """The levelled runs and the increments: (level, table) of each run, oldest first."""
 
     spark: SparkSession
     root: str
     fanout: int = FANOUT
     runs: list[tuple[int, str]] = field(default_factory=list)
+    increments: list[str] = field(default_factory=list)
+    name: str = field(default_factory=lambda: f"llm_lines_{uuid.uuid4().hex[:12]}")
     made: int = 0
 
     SCHEMA = "hash binary, docs bigint"
 
-    def stored(self) -> DataFrame:
-        """All runs' rows; a key has one row in each run that knows it."""
-        if not self.runs:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*[p for _, p in self.runs])
+    @property
+    def buckets(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = f"{self.root}/level={level}/run-{self.made}"
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        """A table of ``rows`` with one file a bucket, sorted by hash."""
+        table = f"{self.name}_{self.made}"
         self.made += 1
-        rows.sortWithinPartitions("hash").write.parquet(path)
-        self.runs.append((level, path))
+        dealt = rows.repartition(self.buckets, "hash").sortWithinPartitions("hash")
+        dealt.write.bucketBy(self.buckets, "hash").sortBy("hash").format("parquet").option("path", f"{self.root}/{kind}-{self.made}").saveAsTable(table)
+        return table
 
-    def fresh(self, batch: DataFrame) -> DataFrame:
-        """The rows of ``batch`` (hash, docs) whose key no run holds: a sort-merge anti join."""
-        return batch if not self.runs else batch.hint("merge").join(self.stored().select("hash").hint("merge"), "hash", "left_anti")
+    def _all(self, tables: list[str]) -> DataFrame:
+        frames = [self.spark.table(t) for t in tables]
+        return functools.reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], self.SCHEMA)
+
+    def stored(self) -> DataFrame:
+        """All runs' rows, one for each key."""
+        return self._all([t for _, t in self.runs])
 
-    def add(self, batch: DataFrame) -> None:
-        """Add the batch's rows (hash, docs) as a run of level 0 and compact full levels."""
-        self._write(batch.groupBy("hash").agg(F.sum("docs").alias("docs")), 0)
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """The rows of ``batch`` (hash, docs) whose key no run holds: merge anti joins, one a run."""
+        for _, table in self.runs:
+            batch = batch.hint("merge").join(self.spark.table(table).select("hash").hint("merge"), "hash", "left_anti")
+        return batch
+
+    def add(self, batch: DataFrame) -> int:
+        """Take in the batch's rows (hash, docs): new keys as a run of level 0, known ones as increments; the number of new keys."""
+        own = self.spark.table(self._write(batch.groupBy("hash").agg(F.sum("docs").alias("docs")), "batch"))
+        run = self._write(self.fresh(own), "run")
+        if self.runs:
+            known = own.hint("merge").join(self.spark.table(run).select("hash").hint("merge"), "hash", "left_anti")
+            self.increments.append(self._write(known, "increment"))
+        self.runs.append((0, run))
+        self._compact()
+        return self.spark.table(run).count()
+
+    def _compact(self) -> None:
         level = 0
         while sum(at == level for at, _ in self.runs) >= self.fanout:
-            full = [p for at, p in self.runs if at == level]
-            rows = self.spark.read.schema(self.SCHEMA).parquet(*full)
-            self.runs = [r for r in self.runs if r[1] not in full]
-            self._write(rows.groupBy("hash").agg(F.sum("docs").alias("docs")), level + 1)
+            full = [t for at, t in self.runs if at == level]
+            merged = self._write(self._all(full), "run")
+            self.runs = [(level + 1, merged) if t == full[-1] else (at, t) for at, t in self.runs if t not in full[:-1]]
             level += 1
 
     def frequent(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """Keys whose documents over all runs are ``min_docs`` or more."""
-        return self.stored().groupBy("hash").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+        """Keys that ``min_docs`` or more documents hold, by their run and their increments."""
+        more = self._all(self.increments).groupBy("hash").agg(F.sum("docs").alias("more"))
+        docs = (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs")
+        return self.stored().join(more, "hash", "left").select("hash", docs).where(F.col("docs") >= min_docs)
+
+    def forget(self) -> None:
+        """Take the tables out of the catalog."""
+        for i in range(self.made):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{i}")
+        self.runs, self.increments = [], []
 
 
 def ingest(docs: DataFrame, batch: str, store: LineRuns, min_chars: int = MIN_CHARS) -> list[int]:
-    """Add the batches of ``docs`` (an integer column names them) in order; returns the new keys of each."""
+    """Add the batches of ``docs`` (an integer column names them) in order; returns the number of new keys of each."""
     counts = written(line_counts(docs, batch, min_chars), "line-counts")
-    new = []
-    for b in sorted(r[0] for r in counts.select("batch").distinct().collect()):
-        own = counts.where(F.col("batch") == b).groupBy("hash").agg(F.sum("docs").alias("docs"))
-        new.append(store.fresh(own).count())
-        store.add(own)
-    return new
+    batches = sorted(r[0] for r in counts.select("batch").distinct().collect())
+    return [store.add(counts.where(F.col("batch") == b)) for b in batches]
 
 
 def drop_lines(text: bytes, frequent, min_chars: int = MIN_CHARS) -> tuple[int, int, bytes]:
@@ -139,13 +168,12 @@ def drop_lines(text: bytes, frequent, min_chars: int = MIN_CHARS) -> tuple[int,
 def apply(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHARS, send_at_most: int = SEND_AT_MOST, prefix: str = "") -> DataFrame:
     """``docs`` with the columns ``n_lines``, ``n_dropped`` and ``kept_text`` (under ``prefix``).
 
-    A frequent set of up to ``send_at_most`` keys (16 bytes each) goes to
+    ``frequent`` (hash) is a written table.  A frequent set of up to ``send_at_most`` keys (16 bytes each) goes to
     every task.  A larger one is joined: texts are cut to line hashes, those
     that are frequent return to their text by its digest.
     """
     import pyarrow as pa
 
-    frequent = written(frequent.select("hash"), "frequent-lines")
     names = [f"{prefix}{x}" for x in ("n_lines", "n_dropped", "kept_text")]
     ddl = f"`{names[0]}` bigint, `{names[1]}` bigint, `{names[2]}` string"
     small = frequent.count() <= send_at_most
@@ -178,12 +206,14 @@ def apply(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHARS, send
     return marked.mapInArrow(run, with_fields(docs, ddl))
 
 
-def _store(docs: DataFrame, n_batches: int, min_chars: int) -> LineRuns:
+def _frequent(docs: DataFrame, n_batches: int, min_docs: int, min_chars: int) -> DataFrame:
     spark = docs.sparkSession
     store = LineRuns(spark, scratch(spark, "line-runs"))
     batch = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(n_batches)).cast("int")
     ingest(docs.select(batch.alias("batch"), "text"), "batch", store, min_chars)
-    return store
+    frequent = written(store.frequent(min_docs).select("hash"), "frequent-lines")
+    store.forget()
+    return frequent
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, n_batches: int = BATCHES, send_at_most: int = SEND_AT_MOST, prefix: str = "", counted: DataFrame | None = None) -> DataFrame:
@@ -191,7 +221,8 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
 
     ``counted``: rows to count the lines of, if not those of ``docs``.
     """
-    return apply(docs, _store(docs if counted is None else counted, n_batches, min_chars).frequent(min_docs), min_chars, send_at_most, prefix)
+    frequent = _frequent(docs if counted is None else counted, n_batches, min_docs, min_chars)
+    return apply(docs, frequent, min_chars, send_at_most, prefix)
 
 
 def digests(docs: DataFrame) -> DataFrame:

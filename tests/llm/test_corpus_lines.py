@@ -44,9 +44,28 @@ def test_runs_are_levelled_and_tell_new_keys(spark):
     store = line_dedup.LineRuns(spark, scratch(spark, "runs"), fanout=2)
     assert line_dedup.ingest(df, "batch", store) == [2, 1, 1, 0, 1, 1]
     assert sorted(level for level, _ in store.runs) == [1, 2]
-    counts = sorted(r["docs"] for r in store.stored().groupBy("hash").agg(F.sum("docs").alias("docs")).collect())
+    rows = store.stored().collect()
+    assert len(rows) == len({bytes(r["hash"]) for r in rows}) == 6  # a key lies in one run
+    counts = sorted(r["docs"] for r in store.frequent(1).collect())
     assert counts == [1, 1, 1, 2, 2, 3]
     assert store.frequent(3).count() == 1
+    # the stored side is read as it lies: the batch alone is shuffled
+    plan = store.fresh(df.select(F.unhex(F.md5("text")).alias("hash"), F.lit(1).cast("long").alias("docs")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1
+    store.forget()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(store.name)]
+
+
+def test_the_anti_join_decides_the_result(spark, monkeypatch):
+    """A join that finds nothing new leaves the runs without keys; one that finds all new splits their counts."""
+    rows = rows_of([f"line {i % 3}\nown {i}" for i in range(60)])
+    df = table(spark, rows).drop("kept_text")
+    want = sorted(brute(rows), key=str)
+    assert result(line_dedup.dedup(df)) == want and {r[2] for r in want} == {1}
+    monkeypatch.setattr(line_dedup.LineRuns, "fresh", lambda self, batch: batch.where("false"))
+    assert {r[2] for r in result(line_dedup.dedup(df))} == {0}
+    monkeypatch.setattr(line_dedup.LineRuns, "fresh", lambda self, batch: batch)
+    assert result(line_dedup.dedup(df)) != want
 
 
 def test_min_chars_and_empty_table(spark):
