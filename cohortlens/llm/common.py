@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +15,48 @@ from cohortlens.session import shared_path
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return shared_path(spark, "llm", f"{name}-{uuid.uuid4().hex[:12]}")
+_open_scopes: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A new folder below the shared checkpoint folder.
+
+    Within ``freed`` it goes when that block ends; with ``outlives`` it
+    belongs to the block around it, if there is one.
+    """
+    path = shared_path(spark, "llm", f"{name}-{uuid.uuid4().hex[:12]}")
+    owners = _open_scopes[:-1] if outlives else _open_scopes
+    if owners:
+        owners[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, on whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+@contextmanager
+def freed(spark: SparkSession):
+    """Scratch folders made in the block are deleted at its end; results that others read must outlive it."""
+    paths: list[str] = []
+    _open_scopes.append(paths)
+    try:
+        yield
+    finally:
+        _open_scopes.pop()
+        for path in paths:
+            discard(spark, path)
+
+
+def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Later passes start from the files, so a lost executor costs no more than
     the tasks it was running.
     """
-    path = scratch(df.sparkSession, name)
+    path = scratch(df.sparkSession, name, outlives)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import written
+from cohortlens.llm.common import freed, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,16 +31,17 @@ def _star(arcs: DataFrame, smaller: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the end points of ``edges`` (a, b): the root is the least node reachable."""
-    e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = written(e, "edges")
-    mark = _mark(e)
-    while mark[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, smaller=False)
-        e = written(_star(written(large, "edges"), smaller=True), "edges")
-        now = _mark(e)
-        if now == mark:
-            break
-        mark = now
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return written(roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "components")
+    with freed(edges.sparkSession):
+        e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        e = written(e, "edges")
+        mark = _mark(e)
+        while mark[0]:
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = _star(both, smaller=False)
+            e = written(_star(written(large, "edges"), smaller=True), "edges")
+            now = _mark(e)
+            if now == mark:
+                break
+            mark = now
+        roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return written(roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "components", outlives=True)

@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import scratch, text_chunks, utf8, with_fields, written
+from cohortlens.llm.common import freed, scratch, text_chunks, utf8, with_fields, written
 
 MIN_DOCS, MIN_CHARS = 10, 1
 BATCHES, FANOUT = 4, 2
@@ -208,12 +208,13 @@ def apply(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHARS, send
 
 def _frequent(docs: DataFrame, n_batches: int, min_docs: int, min_chars: int) -> DataFrame:
     spark = docs.sparkSession
-    store = LineRuns(spark, scratch(spark, "line-runs"))
-    batch = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(n_batches)).cast("int")
-    ingest(docs.select(batch.alias("batch"), "text"), "batch", store, min_chars)
-    frequent = written(store.frequent(min_docs).select("hash"), "frequent-lines")
-    store.forget()
-    return frequent
+    with freed(spark):
+        store = LineRuns(spark, scratch(spark, "line-runs"))
+        batch = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(n_batches)).cast("int")
+        ingest(docs.select(batch.alias("batch"), "text"), "batch", store, min_chars)
+        frequent = written(store.frequent(min_docs).select("hash"), "frequent-lines", outlives=True)
+        store.forget()
+        return frequent
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, n_batches: int = BATCHES, send_at_most: int = SEND_AT_MOST, prefix: str = "", counted: DataFrame | None = None) -> DataFrame:

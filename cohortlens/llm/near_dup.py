@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import WordHashes, mix64, text_chunks, utf8, with_fields, written
+from cohortlens.llm.common import WordHashes, freed, mix64, text_chunks, utf8, with_fields, written
 from cohortlens.llm.graph import components
 
 SHINGLE, PERCENT = 4, 80
@@ -197,13 +197,14 @@ def more_stars(classes: DataFrame, turn: int, percent: int) -> DataFrame | None:
 
 def relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``classes`` (with ``label``) after the links (a, b) have joined labels."""
-    if not links.take(1):
-        return classes
-    named = classes.select("class", "label")
-    ends = links.join(named.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b")
-    roots = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    columns = [F.coalesce("root", "label").alias("label") if c == "label" else F.col(c) for c in classes.columns]
-    return written(classes.join(roots, classes["label"] == roots["node"], "left").select(*columns), "labelled")
+    with freed(classes.sparkSession):
+        if not links.take(1):
+            return classes
+        named = classes.select("class", "label")
+        ends = links.join(named.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b")
+        roots = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        columns = [F.coalesce("root", "label").alias("label") if c == "label" else F.col(c) for c in classes.columns]
+        return written(classes.join(roots, classes["label"] == roots["node"], "left").select(*columns), "labelled", outlives=True)
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -270,30 +271,31 @@ def texts_of(some: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    pairs = written(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    texts = written(texts_of(need, classes, docs), "pair-texts")
-    degree = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups")), "pair-degrees")
-    dealt = written(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part")), "pair-groups")
-    asked = dealt.select("a", "part", F.col("b").alias("class")).union(dealt.select("a", "part", F.col("a").alias("class")).distinct())
-    groups = asked.join(texts, "class")
-
-    def run(key, table):
-        import pyarrow as pa
-
-        a = key[0].as_py()
-        names = table.column("class").to_pylist()
-        sets, _ = shingle_sets([(t or "").encode() for t in table.column("text").to_pylist()], k, WordHashes())
-        own = sets[names.index(a)]
-        found = set()
-        for name, other in zip(names, sets, strict=True):
-            if name != a:
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(other) - both):
-                    found.add(name)
-        return pa.table({"a": pa.array([a] * len(found), type=pa.binary()), "b": pa.array(sorted(found), type=pa.binary())})
-
-    return written(groups.groupBy("a", "part").applyInArrow(run, "a binary, b binary"), "links")
+    with freed(docs.sparkSession):
+        pairs = written(pairs, "pairs")
+        need = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+        texts = written(texts_of(need, classes, docs), "pair-texts")
+        degree = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups")), "pair-degrees")
+        dealt = written(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part")), "pair-groups")
+        asked = dealt.select("a", "part", F.col("b").alias("class")).union(dealt.select("a", "part", F.col("a").alias("class")).distinct())
+        groups = asked.join(texts, "class")
+
+        def run(key, table):
+            import pyarrow as pa
+
+            a = key[0].as_py()
+            names = table.column("class").to_pylist()
+            sets, _ = shingle_sets([(t or "").encode() for t in table.column("text").to_pylist()], k, WordHashes())
+            own = sets[names.index(a)]
+            found = set()
+            for name, other in zip(names, sets, strict=True):
+                if name != a:
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        found.add(name)
+            return pa.table({"a": pa.array([a] * len(found), type=pa.binary()), "b": pa.array(sorted(found), type=pa.binary())})
+
+        return written(groups.groupBy("a", "part").applyInArrow(run, "a binary, b binary"), "links", outlives=True)
 
 
 def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, label: bool = False) -> DataFrame:
@@ -303,20 +305,21 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, label: bo
     """
     also = ["label"] if label else []
     base = written(signatures(docs, k), "signatures")
-    sets = base.where(F.col("class").isNotNull())
-    classes = sets.groupBy("class").agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("text_key", "doc_id")).alias("row"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise"), *(F.first(s).alias(s) for s in SKETCH)
-    )
-    classes = written(classes.withColumn("top", F.slice("minwise", 1, TREES * VALUES)), "classes")
-    labelled = relabel(classes.drop("minwise", "row").withColumn("label", F.col("class")), confirm(stars(classes, percent), classes, docs, k, percent))
-    for turn in range(ROUNDS):
-        pairs = more_stars(labelled, turn + 2, percent)
-        if pairs is None:
-            break
-        labelled = relabel(labelled, confirm(pairs, classes, docs, k, percent))
-    labelled = relabel(labelled, confirm(unresolved(labelled, classes, docs, k, percent), classes, docs, k, percent))
-    names = written(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "component-names")
-    named = written(labelled.select("class", "label").join(names, "label").select("class", "component_id", *also), "class-names")
+    with freed(docs.sparkSession):
+        sets = base.where(F.col("class").isNotNull())
+        classes = sets.groupBy("class").agg(
+            F.min("doc_id").alias("least_id"), F.min(F.struct("text_key", "doc_id")).alias("row"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise"), *(F.first(s).alias(s) for s in SKETCH)
+        )
+        classes = written(classes.withColumn("top", F.slice("minwise", 1, TREES * VALUES)), "classes")
+        labelled = relabel(classes.drop("minwise", "row").withColumn("label", F.col("class")), confirm(stars(classes, percent), classes, docs, k, percent))
+        for turn in range(ROUNDS):
+            pairs = more_stars(labelled, turn + 2, percent)
+            if pairs is None:
+                break
+            labelled = relabel(labelled, confirm(pairs, classes, docs, k, percent))
+        labelled = relabel(labelled, confirm(unresolved(labelled, classes, docs, k, percent), classes, docs, k, percent))
+        names = written(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "component-names")
+        named = written(labelled.select("class", "label").join(names, "label").select("class", "component_id", *also), "class-names", outlives=True)
     out = base.select("doc_id", "text_key", "n_shingles", "class").join(named, "class", "left")
     return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *also)
 
@@ -333,11 +336,12 @@ def representatives(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     A component is stood for by its least (doc_id, text_key), null ids last.
     Rows with an empty set all stay.
     """
-    rows = cluster(docs, k, percent, label=True)
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))).alias("least")
-    kept = rows.where("label IS NOT NULL").groupBy("label").agg(least).select("least._id", "least._key", F.lit(False).alias("_empty"))
-    empty = rows.where("label IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(True).alias("_empty")).distinct()
-    kept = written(kept.unionByName(empty), "kept-keys")
+    with freed(docs.sparkSession):
+        rows = cluster(docs, k, percent, label=True)
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))).alias("least")
+        kept = rows.where("label IS NOT NULL").groupBy("label").agg(least).select("least._id", "least._key", F.lit(False).alias("_empty"))
+        empty = rows.where("label IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(True).alias("_empty")).distinct()
+        kept = written(kept.unionByName(empty), "kept-keys", outlives=True)
     marked = docs.withColumn("_text_key", text_key())
     same = marked.doc_id.eqNullSafe(kept["_id"]) & (marked["_text_key"] == kept["_key"])
     joined = marked.join(kept, same).drop("_id", "_key")
