@@ -53,6 +53,8 @@ FINE = 1024
 ROUNDS, PIVOTS = 1, 24
 #: Confirmed against one pivot's text in a group; classes whose keys are sent to every task, at most.
 GROUP, SEND_AT_MOST = 32, 1_000_000
+#: Bytes of text that a task takes at a time, and words whose hashes it keeps.
+CHUNK, KNOWN_WORDS = 1 << 20, 100_000
 SKETCH = [f"s{i}" for i in range(POSITIONS // 16)]
 
 
@@ -118,8 +120,8 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     schema = with_fields(picked.select("doc_id", "text_key"), "n_shingles bigint, class binary, minwise array<int>, " + ", ".join(f"{s} bigint" for s in SKETCH))
 
     def run(batches):
-        word, arrow = WordHashes(), to_arrow_schema(schema)
-        for batch in text_chunks(batches, "text"):
+        word, arrow = WordHashes(KNOWN_WORDS), to_arrow_schema(schema)
+        for batch in text_chunks(batches, "text", CHUNK):
             sets, _ = shingle_sets(utf8(batch, "text"), k, word)
             full = [i for i, s in enumerate(sets) if len(s)]
             name = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -220,8 +222,8 @@ def fine_sketches(classes: DataFrame, every: DataFrame, docs: DataFrame, k: int)
     def run(batches):
         import pyarrow as pa
 
-        word = WordHashes()
-        for batch in text_chunks(batches, "text", 1 << 20):
+        word = WordHashes(KNOWN_WORDS)
+        for batch in text_chunks(batches, "text", CHUNK):
             sets, _ = shingle_sets(utf8(batch, "text"), k, word)
             fine = sketches(minwise(sets, FINE, seed=11))
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(list(fine), type=pa.list_(pa.int64()))], names=["class", "fine"])
@@ -285,7 +287,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
 
             a = key[0].as_py()
             names = table.column("class").to_pylist()
-            sets, _ = shingle_sets([(t or "").encode() for t in table.column("text").to_pylist()], k, WordHashes())
+            sets, _ = shingle_sets([(t or "").encode() for t in table.column("text").to_pylist()], k, WordHashes(KNOWN_WORDS))
             own = sets[names.index(a)]
             found = set()
             for name, other in zip(names, sets, strict=True):
