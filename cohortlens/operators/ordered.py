@@ -168,13 +168,13 @@ def running_totals(
     """
     by = list(by)
     totals = df.groupBy(*by, bucket).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    border = F.col(bucket).desc() if descending else F.col(bucket).asc()
+    border = F.col(bucket).desc() if descending else F.col(bucket).asc_nulls_last()
     w = Window.partitionBy(*by).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by, bucket, *[F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)).alias(f"_o_{v}") for v in values]
+        *[F.col(c).alias(f"_k_{c}") for c in (*by, bucket)], *[F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)).alias(f"_o_{v}") for v in values]
     )
     wl = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = df.join(offsets, [*by, bucket])
+    joined = df.join(offsets, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*by, bucket)])  # rows with a null key stay
     return joined.select(
         *df.columns, *[(F.col(f"_o_{v}") + F.sum(v).over(wl)).alias(prefix + v) for v in values]
     )

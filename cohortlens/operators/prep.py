@@ -1,9 +1,9 @@
 """Preparation: deterministic splits, exact stratified split, folds, scaling.
 
 Splits are functions of an md5 hash of the row key, so they do not depend
-on partitioning or on the engine.  Splits of an exact size find the hash they
-end at by counting its digits.  Balanced folds need a rank per class; they use
-the bucketed running sums of ``ordered`` with buckets cut directly on the
+on partitioning or on the engine.  An exact split finds the hash it ends at by
+counting its digits.  Stratified splits and balanced folds rank every row
+within its class; they use the bucketed running sums of ``ordered`` with buckets cut directly on the
 uniform hash (no sampling pass), so no task ever holds a whole class.
 """
 
@@ -51,7 +51,7 @@ def class_ranks(
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     buckets = bucket_count(max(sizes.values(), default=0))
     staged = df.withColumn("_b", hash_bucket(F.col(h), buckets)).withColumn("_one", F.lit(1))
-    ranked = running_totals(staged, [label], "_b", [F.col(h), *[F.col(c) for c in tie_breakers]], ["_one"])
+    ranked = running_totals(staged, [label], "_b", [F.col(h).asc_nulls_last(), *[F.col(c) for c in tie_breakers]], ["_one"])
     return ranked.withColumnRenamed("cum__one", alias).drop("_b", "_one"), sizes
 
 
@@ -126,8 +126,15 @@ def exact_split(
 
 
 def stratified_split(df: DataFrame, test_share: float | Fraction = 0.2, label: str = C.LABEL, **kw) -> DataFrame:
-    """``exact_split`` within each class of ``label``."""
-    return exact_split(df, test_share, label, **kw)
+    """Every row's ``rank`` within its class, and exactly ``ceil(test_share * n_class)`` test rows a class: the lowest ranks.
+
+    The share is taken as the exact decimal it is written as (0.2 = 1/5), so
+    the cut does not depend on binary rounding of ``0.2 * n``.
+    """
+    share = test_share if isinstance(test_share, Fraction) else Fraction(str(test_share))
+    ranked, sizes = class_ranks(df, label, **kw)
+    test = functools.reduce(lambda a, b: a | b, [F.col(label).eqNullSafe(F.lit(c)) & (F.col("rank") <= math.ceil(share * n)) for c, n in sizes.items()], F.lit(False))
+    return ranked.withColumn("part", F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def fold_column(df: DataFrame, folds: int = C.N_FOLDS, label: str = C.LABEL, alias: str = "fold", **kw) -> DataFrame:

@@ -372,22 +372,24 @@ RANKED_CTE = (
 TEST_SHARE = Fraction(1, C.TEST_MODULUS)
 
 
-def _split_sql(n: str) -> str:
+def _split_sql(n: str, ranks: str = "") -> str:
     return f"""
 SELECT CASE WHEN rnk * {TEST_SHARE.denominator} <= {n} * {TEST_SHARE.numerator} + {TEST_SHARE.denominator - 1}
             THEN 'test' ELSE 'train' END AS part,
-       outcome, count(*) AS n, min(h_split) AS min_hash, max(h_split) AS max_hash, sum(h_split % 1000) AS hash_sum FROM ranked GROUP BY 1, 2"""
+       outcome, count(*) AS n, {ranks}min(h_split) AS min_hash, max(h_split) AS max_hash, sum(h_split % 1000) AS hash_sum FROM ranked GROUP BY 1, 2"""
 
 
-def _split_rows(parts):
+def _split_rows(parts, *ranks):
     return parts.groupBy("part", C.LABEL).agg(
-        F.count(F.lit(1)).alias("n"), F.min("h_split").alias("min_hash"), F.max("h_split").alias("max_hash"), F.sum(F.col("h_split") % 1000).alias("hash_sum")
+        F.count(F.lit(1)).alias("n"), *ranks, F.min("h_split").alias("min_hash"), F.max("h_split").alias("max_hash"), F.sum(F.col("h_split") % 1000).alias("hash_sum")
     )
 
 
-@query("stratified_split", S.with_cohort(RANKED_CTE) + _split_sql("cls_n"))
+@query("stratified_split", S.with_cohort(RANKED_CTE) + _split_sql("cls_n", "min(rnk) AS min_rank, max(rnk) AS max_rank, "))
 def stratified_split(spark, sf_dir):
-    return _split_rows(P.stratified_split(T.cohort(spark, sf_dir), TEST_SHARE))
+    """A fifth of each class (rounded up), by every row's rank in it."""
+    ranked = P.stratified_split(T.cohort(spark, sf_dir), TEST_SHARE)
+    return _split_rows(ranked, F.min("rank").cast("bigint").alias("min_rank"), F.max("rank").cast("bigint").alias("max_rank"))
 
 
 @query(

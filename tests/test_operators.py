@@ -137,6 +137,29 @@ def test_class_ranks_are_a_permutation(spark):
         assert ranks == list(range(1, n + 1))
 
 
+def test_stratified_split_ranks_every_row(spark):
+    from cohortlens.operators.prep import stratified_split
+
+    rows = [(k, None if k % 7 == 0 else k % 2, (k * 7919) % 40) for k in range(300)]  # hashes tie, a class is null
+    df = spark.createDataFrame(rows, "k int, outcome int, h_split long")
+    got = {r["k"]: (r["rank"], r["part"]) for r in stratified_split(df, tie_breakers=["k"]).collect()}
+    for cls in (None, 0, 1):
+        own = sorted((h, k) for k, y, h in rows if y == cls)
+        cut = math.ceil(len(own) / 5)
+        assert [got[k] for _, k in own] == [(i, "test" if i <= cut else "train") for i in range(1, len(own) + 1)]
+
+
+def test_stratified_split_query_returns_ranks(spark):
+    from cohortlens.plans.catalogue import QUERIES
+    from paths import SF_SMALL
+
+    by = {(r["part"], r["outcome"]): r for r in QUERIES["stratified_split"][0](spark, SF_SMALL).collect()}
+    for y in {y for _, y in by}:
+        test, train = by[("test", y)], by[("train", y)]
+        assert (test["min_rank"], test["max_rank"]) == (1, test["n"])
+        assert (train["min_rank"], train["max_rank"]) == (test["n"] + 1, test["n"] + train["n"])
+
+
 # -------------------------------------------------------------- evaluate
 def _scored(spark, rows):
     return spark.createDataFrame(rows, "model string, y int, p double")
