@@ -40,6 +40,7 @@ def class_ranks(
     h: str = "h_split",
     tie_breakers: Sequence[str] = (*C.KEYS, *C.FEATURES),
     alias: str = "rank",
+    nulls: bool = False,
 ) -> tuple[DataFrame, dict]:
     """1-based rank of each row within its class, ordered by (hash, tie-breakers).
 
@@ -51,7 +52,7 @@ def class_ranks(
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     buckets = bucket_count(max(sizes.values(), default=0))
     staged = df.withColumn("_b", hash_bucket(F.col(h), buckets)).withColumn("_one", F.lit(1))
-    ranked = running_totals(staged, [label], "_b", [F.col(h).asc_nulls_last(), *[F.col(c) for c in tie_breakers]], ["_one"])
+    ranked = running_totals(staged, [label], "_b", [F.col(h).asc_nulls_last(), *[F.col(c) for c in tie_breakers]], ["_one"], nulls=nulls)
     return ranked.withColumnRenamed("cum__one", alias).drop("_b", "_one"), sizes
 
 
@@ -132,7 +133,7 @@ def stratified_split(df: DataFrame, test_share: float | Fraction = 0.2, label: s
     the cut does not depend on binary rounding of ``0.2 * n``.
     """
     share = test_share if isinstance(test_share, Fraction) else Fraction(str(test_share))
-    ranked, sizes = class_ranks(df, label, **kw)
+    ranked, sizes = class_ranks(df, label, nulls=True, **kw)
     test = functools.reduce(lambda a, b: a | b, [F.col(label).eqNullSafe(F.lit(c)) & (F.col("rank") <= math.ceil(share * n)) for c, n in sizes.items()], F.lit(False))
     return ranked.withColumn("part", F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
