@@ -499,3 +499,20 @@ def test_select_model_picks_one_and_unknown_is_empty(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "model string, accuracy double")
     assert [r.accuracy for r in E.select_model(df, "b").collect()] == [2.0]
     assert E.select_model(df, "zzz").isEmpty()
+
+
+def test_knn_tasks_return_numbers_of_children_not_vectors():
+    """A query may go on to all children of a node: its vector is not repeated for each, and a leaf returns nothing beyond the bound."""
+    import numpy as np
+    import pandas as pd
+
+    from cohortlens.operators.knn import _block_topk, _choose
+
+    rng = np.random.RandomState(2)
+    asked = pd.DataFrame({"_qid": range(5), "_qv": list(rng.normal(size=(5, 64))), "_D": [np.inf] * 5})
+    kids = pd.DataFrame({"_child": range(7), "_mu": list(rng.normal(size=(7, 64))), "_r": [1.0] * 7, "_open": [True] * 7})
+    out = _choose(None)(asked, kids)
+    assert list(out.columns) == ["_qid", "_node", "_open"] and len(out) == 35
+    q = pd.DataFrame({"_qid": [1], "_qv": [np.zeros(1)], "_D": [2.0]})
+    p = pd.DataFrame({"_id": [10, 11, 12, 13], "_v": [np.array([x]) for x in (1.0, -2.0, 2.0, 3.0)]})
+    assert _block_topk(4, False)(q, p)["_nid"].tolist() == [10, 11, 12]
