@@ -55,3 +55,23 @@ def test_votes_by_fold_and_importances(spark, small):
         shares[r["model"]] = shares.get(r["model"], 0.0) + r["importance"]
     assert set(shares) == {"logistic_regression", "random_forest", "gradient_boosting", "soft_vote_tuned"}
     assert all(abs(v - 1) < 1e-4 for v in shares.values())
+
+
+def test_fits_that_read_no_row_ids_do_not_make_them(spark, monkeypatch):
+    """``logreg_fit`` and its like take no sort of all rows; rows with equal keys or null keys all stay."""
+    from cohortlens import constants as C
+    from cohortlens.plans import experiments as X
+
+    rows = [(*[None if i % 7 == 0 else i % 5] * len(C.KEYS), *[float((i * (j + 3)) % 11) for j in range(len(C.FEATURES))], i % 2, i) for i in range(60)]
+    schema = ", ".join([f"{c} long" for c in C.KEYS] + [f"{c} double" for c in C.FEATURES] + [f"{C.LABEL} int", "h_split long"])
+    monkeypatch.setattr(X.T, "cohort", lambda s, d: spark.createDataFrame(rows, schema))
+
+    def refuse(*a, **kw):
+        raise AssertionError("no row ids are read")
+
+    monkeypatch.setattr(X, "with_row_id", refuse)
+    n_train = sum(not (i % C.TEST_MODULUS == 0) for i in range(60))
+    got = X.logreg_fit(spark, "").collect()
+    assert len(got) == len(C.FEATURES) + 1 and {r["n_train"] for r in got} == {n_train} and all(r["residual"] == 0 for r in got)
+    with X.Kept() as keep:
+        assert X.prepared(spark, "", keep, ids=False).count() == 60
