@@ -15,7 +15,8 @@ node whose classes all carry one label needs nothing more, however large it
 is.  What then remains is joined between differing labels: nodes of up to
 ``WHOLE`` classes exhaustively, larger ones by branching on further minwise
 positions, chosen from the node's own path, until they are small enough or,
-at the last depth, exhaustively by a join that skew splitting spreads.  A
+at the last depth, exhaustively.  Nodes of more than ``SMALL`` classes are
+dealt to cells, each with the pairs of two parts of about ``SIDE`` classes.  A
 pair is looked at in the first exhaustive top node it shares and in no other.
 Comparisons use a sketch of the minwise values with a wide margin, and between
 members of large nodes a second, finer one; every link is confirmed on the
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import WordHashes, freed, mix64, text_chunks, utf8, with_fields, written
 from cohortlens.llm.graph import components
+from cohortlens.session import shuffles_freed
 
 SHINGLE, PERCENT = 4, 80
 #: Minwise positions kept; positions opened at the top (trees x values each) and at each deeper node.
@@ -47,6 +49,8 @@ POSITIONS, TREES, VALUES, BRANCH = 128, 4, 2, 2
 #: Nodes of more classes than SMALL get further pivots and fine sketches; nodes of up to WHOLE are joined
 #: exhaustively; depth of the trees below the top.
 SMALL, WHOLE, DEPTH = 64, 8192, 2
+#: Classes in a part of a cell, about; pairs that a cell's task compares at a time, at most.
+SIDE, AT_ONCE = 4096, 1 << 18
 #: Minwise positions of a fine sketch.
 FINE = 1024
 #: Rounds of further pivots for large nodes, and pivots of a node in a round.
@@ -148,12 +152,6 @@ def _differ(a: str, b: str) -> str:
     return " + ".join(_nibbles(f"({a}.{s} ^ {b}.{s})") for s in SKETCH)
 
 
-def _fine(a: str, b: str, percent: int) -> str:
-    """SQL: the fine sketches, where both rows have one, differ little enough."""
-    counted = f"aggregate(zip_with({a}.fine, {b}.fine, (u, v) -> u ^ v), 0, (n, w) -> n + {_nibbles('w')})"
-    return f"({a}.fine IS NULL OR {b}.fine IS NULL OR {counted} <= {margin(percent, FINE)})"
-
-
 def _alike(a: str, b: str, percent: int) -> str:
     """SQL: sizes allow the threshold and the sketches differ little enough."""
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {_differ(a, b)} <= {margin(percent)}"
@@ -231,24 +229,110 @@ def fine_sketches(classes: DataFrame, every: DataFrame, docs: DataFrame, k: int)
     return written(texts_of(classes, every, docs).mapInArrow(run, "class binary, fine array<bigint>"), "fine-sketches")
 
 
+def bit_planes(packed: np.ndarray) -> np.ndarray:
+    """Sketches of four-bit values, sixteen to a long, as four planes: (plane, sketch, 64 positions to a long)."""
+    nibbles = packed.view(np.uint8)
+    nibbles = np.stack([nibbles & 15, nibbles >> 4], axis=2).reshape(len(packed), -1)
+    return np.stack([np.packbits(nibbles >> b & 1, axis=1).view(np.uint64) for b in range(4)])
+
+
+def planes_differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Positions in which sketches given as planes differ; the middle axes are broadcast."""
+    out = 0
+    for w in range(x.shape[-1]):
+        unequal = x[0, ..., w] ^ y[0, ..., w]
+        for b in range(1, 4):
+            unequal |= x[b, ..., w] ^ y[b, ..., w]
+        out = out + np.bitwise_count(unequal).astype(np.int16)
+    return out
+
+
+def _matrix(column, dtype=np.int64) -> np.ndarray:
+    """An Arrow list column, its lists all of one length, as rows; null values are 0."""
+    flat = column.combine_chunks().flatten()
+    return flat.fill_null(0).to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
+
+
+def cell_pairs(table, percent: int):
+    """Pairs (a, b) of one cell: classes of different parts, or of its only part, that differ in label and look alike."""
+    import pyarrow as pa
+
+    def out(first, second):
+        return pa.table({"a": pa.array(first, type=pa.binary()), "b": pa.array(second, type=pa.binary())})
+
+    if table.num_rows < 2:
+        return out([], [])
+    names = table.column("class").to_pylist()
+    label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    n = table.column("n").to_numpy()
+    coarse = bit_planes(np.ascontiguousarray(np.stack([table.column(s).to_numpy() for s in SKETCH], axis=1)))
+    fine = bit_planes(_matrix(table.column("fine")))
+    before = _matrix(table.column("before"))
+    held = before != 0
+    part = table.column("part").to_numpy()
+    left = np.flatnonzero(part == part.min())
+    right = np.flatnonzero(part != part.min())
+    alone = not len(right)
+    right = left if alone else right
+    first, second = [], []
+    step = max(1, AT_ONCE // len(right))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
+        near = planes_differ(coarse[:, rows, None, :], coarse[:, None, right, :]) <= margin(percent)
+        near &= label[rows, None] != label[None, right]
+        x, y = np.nonzero(near)
+        x, y = rows[x], right[y]
+        keep = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        if alone:
+            keep &= x < y
+        x, y = x[keep], y[keep]
+        seen = np.zeros(len(x), dtype=bool)
+        for k in range(before.shape[1]):
+            seen |= (before[x, k] == before[y, k]) & held[x, k]
+        x, y = x[~seen], y[~seen]
+        for k in range(0, len(x), AT_ONCE // 32):
+            u, v = x[k : k + AT_ONCE // 32], y[k : k + AT_ONCE // 32]
+            alike = planes_differ(fine[:, u], fine[:, v]) <= margin(percent, FINE)
+            for i, j in zip(u[alike].tolist(), v[alike].tolist(), strict=True):
+                first.append(min(names[i], names[j]))
+                second.append(max(names[i], names[j]))
+    return out(first, second)
+
+
+def large_node_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a node of ``rows`` (with ``size``, ``fine`` and ``before``), cell by cell.
+
+    A node's classes are dealt to parts, and every two parts meet in a cell,
+    so a task holds two parts however large the node is.
+    """
+    parts = F.ceil(F.col("size") / SIDE)
+    own = rows.withColumn("part", F.pmod(F.xxhash64("class"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    cells = own.select("node", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "class", "label", "n", *SKETCH, "fine", "before")
+    return cells.groupBy("node", "lo", "hi").applyInArrow(lambda table: cell_pairs(table, percent), "a binary, b binary")
+
+
 def unresolved(labelled: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of classes with different labels that share a node and look alike, by the recursion below the top."""
     rows = top_nodes(labelled, "label")
     mixed = written(_mixed(rows), "mixed-nodes")
     rows = written(rows.join(mixed, "node"), "mixed-rows")
-    # the exhaustive nodes of each class, by position: a pair belongs to the first that it shares
-    lists = written(rows.where(F.col("size") <= WHOLE).groupBy("class").agg(F.collect_list(F.struct("at", "node")).alias("all")), "node-lists")
+    # the exhaustive node of each class at each position: a pair belongs to the first that it shares
+    places = [F.max(F.when(F.col("at") == p, F.col("node"))) for p in range(TREES * VALUES)]
+    lists = written(rows.where(F.col("size") <= WHOLE).groupBy("class").agg(F.array(*places).alias("all")), "node-lists")
     members = rows.where(F.col("size") > SMALL).select("class").distinct()
-    fine = fine_sketches(members, classes, docs, k)
-    rows = rows.join(lists, "class", "left").join(fine, "class", "left").withColumn("fine", F.when(F.col("size") > SMALL, F.col("fine")))
-    earlier = F.filter("all", lambda s: (s["at"] < F.col("at")) | (F.col("size") > WHOLE))
-    rows = rows.withColumn("before", F.coalesce(F.transform(earlier, lambda s: s["node"]), F.array().cast("array<bigint>"))).drop("all", "at")
+    # once for each class: repeated rows stand for theirs together
+    fine = fine_sketches(members, classes, docs, k).groupBy("class").agg(F.first("fine").alias("fine"))
+    every = F.coalesce("all", F.array(*[F.lit(None).cast("bigint")] * (TREES * VALUES)))
+    before = F.transform(every, lambda node, p: F.when((p < F.col("at")) | (F.col("size") > WHOLE), node))
+    rows = rows.join(lists, "class", "left").withColumn("before", before).drop("all", "at")
     rows, out = written(rows, "mixed-rows"), None
     for depth in range(DEPTH + 1):
         own = rows if depth == DEPTH else rows.where(F.col("size") <= WHOLE)
-        met = f"x.class < y.class AND x.label != y.label AND {_alike('x', 'y', percent)} AND NOT arrays_overlap(x.before, y.before) AND {_fine('x', 'y', percent)}"
-        pairs = own.alias("x").join(own.alias("y"), "node").where(met)
-        pairs = written(pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")), "node-pairs")
+        small = own.where(F.col("size") <= SMALL)
+        met = f"x.class < y.class AND x.label != y.label AND {_alike('x', 'y', percent)} AND NOT coalesce(arrays_overlap(x.before, y.before), false)"
+        pairs = small.alias("x").join(small.alias("y"), "node").where(met).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+        pairs = pairs.union(large_node_pairs(own.where(F.col("size") > SMALL).join(fine, "class"), percent))
+        pairs = written(pairs, "node-pairs")
         out = pairs if out is None else out.union(pairs)
         large = rows.where(F.col("size") > WHOLE)
         if depth == DEPTH or not large.take(1):
@@ -307,7 +391,7 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, label: bo
     """
     also = ["label"] if label else []
     base = written(signatures(docs, k), "signatures")
-    with freed(docs.sparkSession):
+    with freed(docs.sparkSession), shuffles_freed(docs.sparkSession):
         sets = base.where(F.col("class").isNotNull())
         classes = sets.groupBy("class").agg(
             F.min("doc_id").alias("least_id"), F.min(F.struct("text_key", "doc_id")).alias("row"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise"), *(F.first(s).alias(s) for s in SKETCH)

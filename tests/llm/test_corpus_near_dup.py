@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from odd import ROWS, corpus, lower, rows_of, table, words
 
@@ -55,6 +56,43 @@ def test_large_nodes_lose_nothing(spark, monkeypatch, whole):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out), key=str) == brute(rows)
 
 
+def test_cells_hold_every_pair_of_a_large_node_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SIDE", 6)
+    monkeypatch.setattr(near_dup, "AT_ONCE", 64)
+    rnd = np.random.default_rng(3)
+
+    def values(positions):
+        own = np.repeat(rnd.integers(0, 1 << 32, size=(1, positions), dtype=np.uint32), 40, axis=0)
+        for i, row in enumerate(own):
+            at = rnd.random(positions) < i % 8 / 20
+            row[at] = rnd.integers(0, 1 << 32, size=at.sum(), dtype=np.uint32)
+        return own
+
+    low, high = values(near_dup.POSITIONS), values(near_dup.FINE)
+    coarse, fine = near_dup.sketches(low), near_dup.sketches(high)
+    rows = []
+    for i in range(40):
+        before = [None] * 6 + [int(i % 5) + 1 if i % 3 else None, None]
+        rows.append((7, 40, bytes([i]) * 16, bytes([i % 4]) * 16, 100 + i, *coarse[i].tolist(), fine[i].tolist(), before))
+    columns = ["node bigint", "size bigint", "class binary", "label binary", "n bigint", *(f"{s} bigint" for s in near_dup.SKETCH), "fine array<bigint>", "before array<bigint>"]
+    df = spark.createDataFrame(rows, ", ".join(columns))
+
+    def alike(i, j):
+        a, b = rows[i], rows[j]
+        if a[3] == b[3] or a[-1][6] is not None and a[-1][6] == b[-1][6] or 100 * min(a[4], b[4]) < 80 * max(a[4], b[4]):
+            return False
+        unequal = lambda v: int(((v[i] ^ v[j]) & 15 != 0).sum())
+        return unequal(low) <= near_dup.margin(80) and unequal(high) <= near_dup.margin(80, near_dup.FINE)
+
+    want = sorted((i, j) for i in range(40) for j in range(i + 1, 40) if alike(i, j))
+    assert 20 < len(want) < 600
+    got = sorted((r["a"][0], r["b"][0]) for r in near_dup.large_node_pairs(df, 80).collect())
+    assert got == want
+    table = df.drop("node", "size").toArrow().append_column("part", [[0] * 40])
+    assert sorted((a[0], b[0]) for a, b in zip(*(near_dup.cell_pairs(table, 80)[c].to_pylist() for c in "ab"), strict=True)) == want
+    assert near_dup.large_node_pairs(df.where("class = X'00000000000000000000000000000000'"), 80).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
