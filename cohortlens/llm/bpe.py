@@ -19,14 +19,14 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import text_chunks, with_fields
+from cohortlens.llm.common import row_chunks, text_chunks, with_fields
 
 # code point classes
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -38,6 +38,8 @@ N_STATES, N_SYMBOLS = 8, 9
 COLUMN = 64
 #: Pieces of up to so many bytes are merged over lists; the rank of a pair that has none.
 SHORT, NO_RANK = 48, 1 << 40
+#: Bytes of text that a task encodes at a time, and tokens that it decodes at a time.
+CHUNK, TOKENS = 1 << 20, 1 << 18
 
 #: White space of the split pattern; fixed values of the Unicode property.
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -204,7 +206,7 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class PieceCache(dict):
     """Ids of pieces seen before; long pieces are not held and it starts again when full."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 600_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000, longest: int = 64):
         super().__init__()
         self._ranks, self._limit, self._longest = ranks, limit, longest
 
@@ -223,7 +225,10 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.cache = PieceCache(ranks)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.digits = {i: str(i) for i in self.bytes_of}
+
+    @cached_property
+    def digits(self) -> dict[int, str]:
+        return {i: str(i) for i in self.bytes_of}
 
     def encode(self, texts: list[str]):
         """Yields (ids, piece starts in code points of that text) for each text."""
@@ -245,26 +250,9 @@ class Codec:
         return np.cumsum(sizes) - sizes
 
 
-_CODECS: dict[int, Codec] = {}
-
-
-def _codec(shared) -> Codec:
-    if shared.id not in _CODECS:
-        _CODECS.clear()
-        _CODECS[shared.id] = Codec(shared.value)
-    return _CODECS[shared.id]
-
-
-class _Shared:
-    """A broadcast rank table with a key for the worker's codec."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        held = spark.sparkContext.broadcast(read_ranks(path))
-        self.held, self.id = held, f"{path}#{id(held)}"
-
-    @property
-    def value(self):
-        return self.held.value
+def _shared(spark: SparkSession, path: str):
+    """The rank table, sent to every task."""
+    return spark.sparkContext.broadcast(read_ranks(path))
 
 
 def encode(docs: DataFrame, ranks_path: str, text: str = "text", places: bool = True) -> DataFrame:
@@ -275,12 +263,12 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", places: bool =
     """
     import pyarrow as pa
 
-    shared = _Shared(docs.sparkSession, ranks_path)
+    shared = _shared(docs.sparkSession, ranks_path)
     names = ["ids", "offsets", "piece_starts"] if places else ["ids"]
 
     def run(batches):
-        codec = _codec(shared)
-        for batch in text_chunks(batches, text):
+        codec = Codec(shared.value)  # goes with the task: workers live on in other stages
+        for batch in text_chunks(batches, text, CHUNK):
             ids, offsets, starts = [], [], []
             for i, s in codec.encode([t or "" for t in batch.column(text).to_pylist()]):
                 ids.append(i)
@@ -296,12 +284,13 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", places: bool =
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the bytes that the ids stand for (null ids: no bytes)."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    shared = _Shared(encoded.sparkSession, ranks_path)
+    shared = _shared(encoded.sparkSession, ranks_path)
 
     def run(batches):
-        codec = _codec(shared)
-        for batch in batches:
+        codec = Codec(shared.value)  # goes with the task: workers live on in other stages
+        for batch in row_chunks(batches, lambda b: pc.list_value_length(b.column(ids)), TOKENS):
             out = pa.array([codec.decode(x or []) for x in batch.column(ids).to_pylist()], type=pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
 
@@ -314,11 +303,11 @@ def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
 
     import pyarrow as pa
 
-    shared = _Shared(docs.sparkSession, ranks_path)
+    shared = _shared(docs.sparkSession, ranks_path)
 
     def run(batches):
-        codec = _codec(shared)
-        for batch in text_chunks(batches, "text"):
+        codec = Codec(shared.value)  # goes with the task: workers live on in other stages
+        for batch in text_chunks(batches, "text", CHUNK):
             n, by_ids, by_bytes = [], [], []
             for ids, _ in codec.encode([t or "" for t in batch.column("text").to_pylist()]):
                 n.append(len(ids))

@@ -71,22 +71,34 @@ def id_bucket(column, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
-def text_chunks(batches, column: str, max_bytes: int = 4 << 20):
-    """Slices of Arrow batches with about ``max_bytes`` of ``column`` each, at least one row."""
+def row_chunks(batches, size, most: int):
+    """Slices of Arrow batches whose rows' ``size`` (a function of a batch; null counts 0) adds up to ``most`` at most, at least one row.
+
+    After the last batch Arrow gives the memory that it holds unused back.
+    """
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
-        ends = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(size(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < n:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+    pa.default_memory_pool().release_unused()
+
+
+def text_chunks(batches, column: str, max_bytes: int = 4 << 20):
+    """Slices of Arrow batches with about ``max_bytes`` of ``column`` each, at least one row."""
+    import pyarrow.compute as pc
+
+    return row_chunks(batches, lambda batch: pc.binary_length(batch.column(column)), max_bytes)
 
 
 def utf8(batch, column: str) -> list[bytes]:

@@ -34,6 +34,8 @@ MIN_DOCS, MIN_CHARS = 10, 1
 BATCHES, FANOUT = 4, 2
 #: Frequent keys that are sent to every task (about 15 MB there); more of them meet the documents by a join.
 SEND_AT_MOST = 1 << 17
+#: Bytes of text that a task takes at a time, and keys that it counts at a time.
+CHUNK, COUNTED = 1 << 20, 200_000
 _EDGE = b" \t\n\x0b\x0c\r"
 
 
@@ -67,12 +69,12 @@ def line_counts(docs: DataFrame, batch: str, min_chars: int = MIN_CHARS) -> Data
                 held.clear()
                 yield out
 
-        for chunk in text_chunks(batches, "text"):
+        for chunk in text_chunks(batches, "text", CHUNK):
             for b, text in zip(chunk.column("batch").to_pylist(), utf8(chunk, "text"), strict=True):
                 for key in {k for line in text.split(b"\n") if _long_enough(k := line_key(line), min_chars)}:
                     at = (b, _hash(key))
                     held[at] = held.get(at, 0) + 1
-            if len(held) > 400_000:
+            if len(held) > COUNTED:
                 yield from flush()
         yield from flush()
 
@@ -181,7 +183,7 @@ def apply(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHARS, send
     own = f"{prefix}_frequent_lines"
 
     def run(batches):
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", CHUNK):
             sets = [held.value] * batch.num_rows if small else [set(x or ()) for x in batch.column(own).to_pylist()]
             rows = [drop_lines(t, s, min_chars) for t, s in zip(utf8(batch, "text"), sets, strict=True)]
             n, dropped, kept = zip(*rows, strict=True)
@@ -195,7 +197,7 @@ def apply(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHARS, send
     texts = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias(key), "text")
 
     def hashes(batches):
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", CHUNK):
             for k, text in zip(batch.column(key).to_pylist(), utf8(batch, "text"), strict=True):
                 own = list({_hash(x) for line in text.split(b"\n") if _long_enough(x := line_key(line), min_chars)})
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), type=pa.string()), pa.array(own, type=pa.binary())], names=[key, "hash"])

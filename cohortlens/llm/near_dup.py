@@ -160,10 +160,10 @@ def _alike(a: str, b: str, percent: int) -> str:
 ROW = ["class", "n", *SKETCH]
 
 
-def top_nodes(classes: DataFrame, *more: str) -> DataFrame:
-    """A row for each class and top node; ``at`` is the node's position, and ``at / VALUES`` its tree."""
+def top_nodes(classes: DataFrame, columns: list[str] = ROW) -> DataFrame:
+    """A row for each class and top node, with ``columns``; ``at`` is the node's position, and ``at / VALUES`` its tree."""
     spots = [F.struct(F.xxhash64(F.lit(p // VALUES), F.lit(p), F.col("top")[p]).alias("node"), F.lit(p).alias("at")) for p in range(TREES * VALUES)]
-    return classes.select(*ROW, *more, F.explode(F.array(*spots)).alias("spot")).select(*ROW, *more, "spot.node", "spot.at")
+    return classes.select(*columns, F.explode(F.array(*spots)).alias("spot")).select(*columns, "spot.node", "spot.at")
 
 
 def stars(classes: DataFrame, percent: int) -> DataFrame:
@@ -183,7 +183,7 @@ def more_stars(classes: DataFrame, turn: int, percent: int) -> DataFrame | None:
     group that meets in many nodes is compared with few.  Spark limits the
     groups of a rank filter before it shuffles.
     """
-    rows = top_nodes(classes, "label").drop("at")
+    rows = top_nodes(classes, [*ROW, "label"]).drop("at")
     mixed = written(_mixed(rows).where(F.col("size") > SMALL).select("node"), "large-nodes")
     if not mixed.take(1):
         return None
@@ -313,12 +313,14 @@ def large_node_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def unresolved(labelled: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of classes with different labels that share a node and look alike, by the recursion below the top."""
-    rows = top_nodes(labelled, "label")
-    mixed = written(_mixed(rows), "mixed-nodes")
-    rows = written(rows.join(mixed, "node"), "mixed-rows")
+    places = top_nodes(labelled, ["class", "label"])
+    mixed = written(_mixed(places), "mixed-nodes")
+    # names alone are dealt by node; sketches join the rows that are left
+    rows = places.drop("label").join(mixed, "node").join(labelled.select(*ROW, "label"), "class")
+    rows = written(rows, "mixed-rows")
     # the exhaustive node of each class at each position: a pair belongs to the first that it shares
-    places = [F.max(F.when(F.col("at") == p, F.col("node"))) for p in range(TREES * VALUES)]
-    lists = written(rows.where(F.col("size") <= WHOLE).groupBy("class").agg(F.array(*places).alias("all")), "node-lists")
+    by_place = [F.max(F.when(F.col("at") == p, F.col("node"))) for p in range(TREES * VALUES)]
+    lists = written(rows.where(F.col("size") <= WHOLE).groupBy("class").agg(F.array(*by_place).alias("all")), "node-lists")
     members = rows.where(F.col("size") > SMALL).select("class").distinct()
     # once for each class: repeated rows stand for theirs together
     fine = fine_sketches(members, classes, docs, k).groupBy("class").agg(F.first("fine").alias("fine"))

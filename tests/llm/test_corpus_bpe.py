@@ -69,3 +69,23 @@ def test_digests_of_awkward_rows(spark, peer):
         want.append((doc, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
     assert bpe.digests(table(spark, []), rank_file()).count() == 0
+
+
+def test_decoding_takes_a_bounded_number_of_tokens_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from cohortlens.llm.common import row_chunks
+
+    ids = [[1] * n if n is not None else None for n in (3, 0, None, 9, 2, 2, 4, 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, type=pa.list_(pa.int32()))], names=["ids"])
+    cut = list(row_chunks([batch, batch.slice(0, 0)], lambda b: pc.list_value_length(b.column("ids")), 5))
+    assert [x for c in cut for x in c.column("ids").to_pylist()] == ids
+    assert all(c.num_rows == 1 or sum(len(x or []) for x in c.column("ids").to_pylist()) <= 5 for c in cut)
+
+    asked = []
+    monkeypatch.setattr(bpe, "row_chunks", lambda batches, size, most: asked.append(most) or iter(()))
+    frame = spark.createDataFrame([([1],)], "ids array<int>")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: list(run([])) or self)
+    bpe.decode(frame, rank_file())
+    assert asked == [bpe.TOKENS]

@@ -121,3 +121,26 @@ def test_library_does_not_import_the_corpus_folder():
     for path in root.rglob("*.py"):
         if path.parent.name != "llm":
             assert "cohortlens.llm" not in path.read_text()
+
+
+def test_every_stage_bounds_the_arrow_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    class Asked(Exception):
+        pass
+
+    def stop(*args, **kwargs):
+        raise Asked(spark.conf.get(key))
+
+    for module, name in ((corpus_pipeline.langid, "fit"), (corpus_pipeline.near_dup, "representatives"), (corpus_pipeline.decontam, "clean"), (corpus_pipeline.bpe, "encode")):
+        monkeypatch.setattr(module, name, stop)
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, path: None)
+    try:
+        for given, held in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+            for _, stage in corpus_pipeline.STAGES:
+                spark.conf.set(key, given)
+                with pytest.raises(Asked, match=f"^{held}$"):
+                    stage(spark, spark.range(1), "")
+    finally:
+        spark.conf.set(key, before)
