@@ -144,3 +144,58 @@ def test_every_stage_bounds_the_arrow_batches(spark, monkeypatch):
                     stage(spark, spark.range(1), "")
     finally:
         spark.conf.set(key, before)
+
+
+def test_tokenizing_runs_one_python_worker_a_core(spark, capsys):
+    import hashlib
+
+    texts = ["two words", "", "caf\u00e9 it's  12345\n", "two words"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.tokenize(spark, docs, "")
+    capsys.readouterr()
+    out.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded_sha256"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == len(texts) and got[1]["ids"] == []
+    assert all(r["decoded_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest() and len(r["ids"]) == r["n_tokens"] for i, r in got.items())
+
+
+def test_every_stage_bounds_the_parquet_batches(spark):
+    from cohortlens.session import bound_arrow_batches
+
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    try:
+        for given, held in (("4096", "1000"), ("200", "200")):
+            spark.conf.set(key, given)
+            bound_arrow_batches(spark)
+            assert spark.conf.get(key) == held
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_decontamination_holds_few_texts_and_words_at_a_time(spark, monkeypatch):
+    import numpy as np
+
+    seen = []
+
+    def overlaps(texts, seeds, word, min_match):
+        seen.append((sum(map(len, texts)), word._limit))
+        return []
+
+    class Docs:
+        sparkSession = spark
+        schema = None
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_arrays([pa.array(["x" * (1 << 18)] * 40)], names=["text"])
+            assert sum(b.num_rows for b in run([batch])) == 40
+            return self
+
+    monkeypatch.setattr(decontam, "overlaps", overlaps)
+    monkeypatch.setattr(decontam, "blocks", lambda *a: [np.zeros(0)])
+    decontam.clean(Docs(), None)
+    assert max(n for n, _ in seen) <= 1 << 20 and all(limit <= 100_000 for _, limit in seen)
